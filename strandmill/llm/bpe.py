@@ -78,9 +78,9 @@ class Encoder:
         texts = [bytes(back[x] for x in a + b) for a, b in merges]
         self.bytes_of = {vocab[a + b]: t for (a, b), t in zip(merges, texts, strict=True)} | {int(i): bytes([b]) for b, i in enumerate(self.of_byte)}
         column = lambda xs: pa.array(xs, pa.int32())
-        table = pa.table({"l": column([vocab[a] for a, _ in merges]), "r": column([vocab[b] for _, b in merges]), "rank": column(range(len(merges))), "id": column([vocab[a + b] for a, b in merges])})  # noqa: F841
+        pairs = pa.table({"l": column([vocab[a] for a, _ in merges]), "r": column([vocab[b] for _, b in merges]), "rank": column(range(len(merges))), "id": column([vocab[a + b] for a, b in merges])})  # noqa: F841
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": tempfile.gettempdir()})
-        self.db.execute("CREATE TABLE merges AS SELECT * FROM table")
+        self.db.execute("CREATE TABLE merges AS SELECT * FROM pairs")
         # Which neighbouring bytes, and which three, are together in some token: anything else is a place where words can be cut.
         self.two, self.three = np.zeros(1 << 16, bool), np.zeros(1 << 24, bool)
         for t in texts:
