@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandmill.functions.alphabet import clean_kmer
 from strandmill.functions.coords import HEADER
-from strandmill.llm import bpe, ledger, spans, split, terms, topk
+from strandmill.llm import bpe, ledger, mix, spam, spans, split, terms, topk
 from strandmill.plans.tables import table
 
 
@@ -96,7 +96,34 @@ def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p3_documents, p4_found, p4_terms, p5_found, p5_top, p6_found, p6_report, p7_found, p7_shares, p8_ids)}
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, mix.Plan, DataFrame]:
+    targets = table(spark, sf_dir, "mix_targets")
+    return *mix.mix(table(spark, sf_dir, "documents"), "doc_id", "source", "text", targets), targets
+
+
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(slot, source, doc_id, copy, tokens): the mix, in the order of its slots."""
+    return _mixed(spark, sf_dir)[0]
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target and actual share of each source."""
+    mixed, p, targets = _mixed(spark, sf_dir)
+    return mix.shares(mixed, p, targets, "doc_id")
+
+
+def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, score): above 0 for spam."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spam.spam_scores(docs, "doc_id", "text", spam.fit(docs, "doc_id", "text", table(spark, sf_dir, "spam_labels"), "doc_id", "is_spam"))
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id): the documents that are spam."""
+    return p10_scores(spark, sf_dir).where("score > 0").select("doc_id")
+
+
+QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p3_documents, p4_found, p4_terms, p5_found, p5_top, p6_found, p6_report, p7_found, p7_shares, p8_ids, p9_mix, p9_shares, p10_found, p10_scores)}
 
 CLEAN = "upper(trim(kmer, ' ' || chr(9) || chr(13)))"
 USABLE = f"SELECT * REPLACE ({CLEAN} AS kmer) FROM kmers WHERE regexp_full_match({CLEAN}, '[ACGT]{{31}}')"
