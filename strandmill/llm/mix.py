@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from strandmill.llm.bpe import token_counts
 from strandmill.sources.shared import materialise, width
 
-BLOCK = 2048  # tokens
+BLOCK = 2048  # tokens; fewer where a mix would have less than LEAST_SLOTS blocks
+LEAST_SLOTS = 2000
 CHUNK = 65_536  # slots that are ranked together
 GOLDEN = 0.6180339887498949
 
@@ -66,6 +67,7 @@ class Plan:
 
     sources: list[tuple[str, float, float, int, int]]
     slots: int
+    block: int
 
 
 def normal(source: Column) -> Column:
@@ -79,7 +81,8 @@ def plan(sizes: DataFrame, targets: DataFrame, block: int) -> Plan:
     usable = [x for x in found if (x[1] or 0) > 0 and (x[2] or 0) > 0 and x[3] > 0]
     total = sum(x[1] for x in usable)
     length = min((n * repeats * total / share for _, share, repeats, n in usable), default=0)
-    return Plan([(s, share / total, share, repeats, n) for s, share, repeats, n in sorted(usable)], int(length // block))
+    block = max(1, min(block, int(length // LEAST_SLOTS)))
+    return Plan([(s, share / total, share, repeats, n) for s, share, repeats, n in sorted(usable)], int(length // block), block)
 
 
 def schedule(sizes: DataFrame, p: Plan) -> DataFrame:
@@ -107,11 +110,11 @@ def mix(docs: DataFrame, key: str, source: str, text: str, targets: DataFrame, t
     # As many copies as the source's share of the mix can need.
     copies = F.lit(0)
     for name, share, _, repeats, n in p.sources:
-        copies = F.when(F.col("source") == name, min(repeats, int(p.slots * block * share / n) + 1)).otherwise(copies)
+        copies = F.when(F.col("source") == name, min(repeats, int(p.slots * p.block * share / n) + 1)).otherwise(copies)
     deal = sizes.select("key", "source", "tokens", F.explode(F.when(copies > 0, F.sequence(F.lit(1), copies))).alias("copy"))
     deal = deal.withColumn("shuffled", F.xxhash64(F.lit(seed), "copy", "key"))
-    dealt = running_total(deal, "source", ["copy", "shuffled", "key"], "tokens").withColumn("rank", F.expr(f"before div {block}"))
-    full = {r.source: r.n // block for r in dealt.groupBy("source").agg(F.max(F.col("before") + F.col("tokens")).alias("n")).collect()}
+    dealt = running_total(deal, "source", ["copy", "shuffled", "key"], "tokens").withColumn("rank", F.expr(f"before div {p.block}"))
+    full = {r.source: r.n // p.block for r in dealt.groupBy("source").agg(F.max(F.col("before") + F.col("tokens")).alias("n")).collect()}
     slots = schedule(sizes, p)
     short = F.lit(False)
     for name, n in full.items():
