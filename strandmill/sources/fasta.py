@@ -24,8 +24,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 SCHEMA = "title string, ref string, seq string, offset bigint"
 
 
-def files_of(path: str) -> list[str]:
-    """Data files of a file, folder or pattern; names that start with '.' or '_' are left out."""
+def files_of(path: str, some: bool = True) -> list[str]:
+    """Data files of a file, folder or pattern; names that start with '.' or '_' are left out. some: it is an error if there are none."""
     path = path.removeprefix("file://")
     found = sorted(glob.glob(path)) if glob.has_magic(path) else [path]
     out = []
@@ -34,7 +34,7 @@ def files_of(path: str) -> list[str]:
             out += [os.path.join(p, n) for n in sorted(os.listdir(p)) if n[0] not in "._" and os.path.isfile(os.path.join(p, n))]
         elif os.path.isfile(p):
             out.append(p)
-    if not out:
+    if some and not out:
         raise FileNotFoundError(f"no such file or an empty folder: {path}")
     return out
 
@@ -167,8 +167,12 @@ class PartsWriter(DataSourceWriter):
                 if old.startswith("part-"):
                     os.remove(os.path.join(self.path, old))
         for m in messages:
-            if m is not None:
+            if m is None:
+                continue
+            if m.rows:
                 os.replace(os.path.join(self.path, m.temporary), os.path.join(self.path, m.final))
+            else:  # an empty part isn't a FASTA file
+                os.remove(os.path.join(self.path, m.temporary))
         open(os.path.join(self.path, "_SUCCESS"), "w").close()
 
     def abort(self, messages) -> None:
@@ -271,7 +275,7 @@ def write_vectors(vector: DataFrame, path: str, k: int, mode: str = "append") ->
 def concatenate(folder: str, out: str) -> None:
     """Join the parts of a folder, in order, into one file (gzip parts may be joined as they are)."""
     with open(out, "wb") as to:
-        for path in files_of(folder):
+        for path in files_of(folder, some=False):
             with open(path, "rb") as f:
                 while block := f.read(1 << 20):
                     to.write(block)
