@@ -195,11 +195,11 @@ class Boosted:
 
 
 def rule(x: np.ndarray) -> np.ndarray:
-    """Without labels: regular repetition or long lists of nouns without function words, and few sentences."""
+    """Without labels: terms that recur soon and regularly, or links, and hardly a function word or sentence."""
     v = dict(zip(NAMES, x.T))
-    regular = (v["recur_near"] > 0.35) & (v["function"] < 0.08)
-    links = (v["url_terms"] > 0.2) | (v["url_chars"] > 0.5)
-    return np.where((v["nounlike"] > 0.6) & (regular | links) & (v["stop"] < 0.05), 1.0, -1.0)
+    regular = (v["recur_near"] > 0.33) & (v["auto_mean"] > 0.03) & (v["function"] < 0.12)
+    links = (v["url_terms"] > 0.25) & (v["function"] < 0.2)
+    return np.where((regular | links) & (v["stop"] < 0.05) & (v["bar"] < 0.5), 1.0, -1.0)
 
 
 class Model:
@@ -226,7 +226,7 @@ def fit(df: DataFrame, key: str, text: str, labels: DataFrame, label_key: str, l
     """labels: rows (label_key, label 0 or 1). At most `sample` of them, picked by a hash, are looked up and fitted; others don't matter."""
     picked = labels.where(F.col(label).isin(0, 1) & F.col(label_key).isNotNull()).select(F.col(label_key).alias("k"), F.col(label).cast("int").alias("y")).dropDuplicates(["k"])
     picked = picked.orderBy(F.xxhash64("k"), "k").limit(sample)
-    rows = df.where(F.col(text).isNotNull()).join(F.broadcast(picked), F.col(key) == F.col("k")).select("k", F.col(text).alias("t"), "y")  # at most `sample` rows
+    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t is not null").join(F.broadcast(picked), "k")  # at most `sample` labels
     found = rows.orderBy(F.xxhash64("k"), "k").limit(sample).collect()
     return Model([r.t for r in found], np.array([r.y for r in found], np.int64))
 
