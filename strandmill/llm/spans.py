@@ -16,7 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandmill.sources.shared import materialise
@@ -25,7 +25,8 @@ SPAN = 50
 # A perfect difference cover, every residue modulo 21 being a difference of two of its members.
 PERIOD, COVER = 21, (0, 1, 6, 8, 18)
 ANCHOR = SPAN - PERIOD + 1  # 30 letters: 60 bits
-BLOCK = 1 << 20  # letters handled at once
+PIECE = 1 << 16  # windows of a piece: longer texts are cut, so that no row holds more positions
+BLOCK = 1 << 20  # windows put out at once
 HOT = 100_000  # occurrences of one code that a task may get
 
 CODES = np.full(256, 4, np.uint8)
@@ -54,11 +55,8 @@ def sound(codes: np.ndarray, w: int) -> np.ndarray:
     return bad[w:] == bad[:-w]
 
 
-def blocks(text: str, w: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(offset, codes) of overlapping blocks that hold each window of w letters once."""
-    raw = np.frombuffer(text.encode("ascii", "replace"), np.uint8)
-    for at in range(0, len(raw) - w + 1, BLOCK):
-        yield at, CODES[raw[at : at + BLOCK + w - 1]]
+def coded(text: str) -> np.ndarray:
+    return CODES[np.frombuffer(text.encode("ascii", "replace"), np.uint8)]
 
 
 def _emit(rows: list[tuple[int, np.ndarray, list[np.ndarray]]], batch: pa.RecordBatch, keep: int, names: list[str]) -> pa.RecordBatch:
@@ -70,21 +68,21 @@ def _emit(rows: list[tuple[int, np.ndarray, list[np.ndarray]]], batch: pa.Record
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, source, text) -> (row, source, pos, code) at the positions of the cover."""
+    """(row, source, text) -> (row, source, pos, code) at the positions of the cover. Positions are those within the piece, the cover is that of the record."""
     cover = np.zeros(PERIOD, bool)
     cover[list(COVER)] = True
     for b in batches:
         rows, size = [], 0
-        for i, text in enumerate(b.column(2).to_pylist()):
-            for at, codes in blocks(text, ANCHOR):
-                p = np.flatnonzero(sound(codes, ANCHOR))
-                p = p[cover[(p + at) % PERIOD]]
-                if len(p):
-                    rows.append((i, p + at, [packed(codes, ANCHOR)[p]]))
-                    size += len(p)
-                if size > BLOCK:
-                    yield _emit(rows, b, 2, ["row", "source", "pos", "code"])
-                    rows, size = [], 0
+        for i, (at, text) in enumerate(zip(b.column(0).field("at").to_pylist(), b.column(2).to_pylist())):
+            codes = coded(text)
+            p = np.flatnonzero(sound(codes, ANCHOR))
+            p = p[cover[(p + at) % PERIOD]]
+            if len(p):
+                rows.append((i, p, [packed(codes, ANCHOR)[p]]))
+                size += len(p)
+            if size > BLOCK:
+                yield _emit(rows, b, 2, ["row", "source", "pos", "code"])
+                rows, size = [], 0
         if rows:
             yield _emit(rows, b, 2, ["row", "source", "pos", "code"])
 
@@ -99,27 +97,26 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             a = np.array(anchors, np.int64)
             np.add.at(near, np.maximum(a - (PERIOD - 1), 0), 1)
             np.add.at(near, a + 1, -1)
-            near = np.cumsum(near) > 0
-            for at, codes in blocks(text, SPAN):
-                ok = sound(codes, SPAN)
-                p = np.flatnonzero(ok & near[at : at + len(ok)])
-                if len(p):
-                    code = packed(codes, half)
-                    rows.append((i, p + at, [code[p], code[p + half]]))
-                    size += len(p)
-                if size > BLOCK:
-                    yield _emit(rows, b, 2, ["row", "source", "pos", "hi", "lo"])
-                    rows, size = [], 0
+            codes = coded(text)
+            ok = sound(codes, SPAN)
+            p = np.flatnonzero(ok & (np.cumsum(near) > 0)[: len(ok)])
+            if len(p):
+                code = packed(codes, half)
+                rows.append((i, p, [code[p], code[p + half]]))
+                size += len(p)
+            if size > BLOCK:
+                yield _emit(rows, b, 2, ["row", "source", "pos", "hi", "lo"])
+                rows, size = [], 0
         if rows:
             yield _emit(rows, b, 2, ["row", "source", "pos", "hi", "lo"])
 
 
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, starts) -> (row, hit_start, hit_end): the maximal runs that windows at the starts cover."""
+    """(row, starts) -> (row, hit_start, hit_end): the maximal runs that windows at the starts cover, in the record's positions."""
     for b in batches:
         of, lows, highs = [], [], []
-        for i, starts in enumerate(b.column(1).to_pylist()):
-            s = np.unique(np.array(starts, np.int64))
+        for i, (at, starts) in enumerate(zip(b.column(0).field("at").to_pylist(), b.column(1).to_pylist())):
+            s = np.unique(np.array(starts, np.int64)) + at
             new = np.flatnonzero(np.diff(s) > SPAN) + 1
             low = s[np.concatenate([[0], new])]
             of += [i] * len(low)
@@ -144,17 +141,21 @@ def _of_several(windows: DataFrame, code: list[str]) -> DataFrame:
 def shared_spans(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
     """(key, hit_start, hit_end): the maximal runs of positions of each row that are covered by windows of SPAN letters
     which also occur in a row of another source. Rows with the same key, source and text are one."""
-    rows = df.where(F.length(text) >= SPAN).select(
-        F.struct(F.col(key).alias("key"), F.xxhash64(F.col(source), F.col(text)).alias("hash")).alias("row"), F.xxhash64(F.col(source)).alias("source"), F.col(text).alias("text")
-    )
+    whole = df.where(F.length(text) >= SPAN).select(F.col(key).alias("key"), F.xxhash64(source, text).alias("hash"), F.xxhash64(source).alias("source"), F.col(text).alias("text"))
+    cut = F.explode(F.sequence(F.lit(0), F.length("text") - SPAN, F.lit(PIECE))).alias("at")
+    rows = whole.select("key", "hash", "source", "text", cut).select(F.struct("key", "hash", "at").alias("row"), "source", F.substr("text", F.col("at") + 1, F.lit(PIECE + SPAN - 1)).alias("text"))
     row = rows.schema["row"].dataType.simpleString()
     anchors = rows.mapInArrow(_anchors, f"row {row}, source bigint, pos int, code bigint")
     near = _of_several(anchors, ["code"]).groupBy("row").agg(F.collect_set("pos").alias("anchors"))
     likely = materialise(rows.dropDuplicates(["row"]).join(near, "row").select("row", "source", "text", "anchors"), "anchored")
     windows = likely.mapInArrow(_windows, f"row {row}, source bigint, pos int, hi bigint, lo bigint")
     starts = _of_several(windows, ["hi", "lo"]).groupBy("row").agg(F.collect_set("pos").alias("starts"))
-    hits = starts.mapInArrow(_merge, f"row {row}, hit_start bigint, hit_end bigint")
-    return hits.select(F.col("row.key").alias(key), "hit_start", "hit_end").distinct()
+    hits = starts.mapInArrow(_merge, f"row {row}, hit_start bigint, hit_end bigint").select("row.key", "row.hash", "hit_start", "hit_end")
+    # Runs of neighbouring pieces of a record may touch.
+    w = Window.partitionBy("key", "hash").orderBy("hit_start")
+    new = F.coalesce((F.col("hit_start") > F.max("hit_end").over(w.rowsBetween(Window.unboundedPreceding, -1))).cast("int"), F.lit(1))
+    joined = hits.withColumn("new", new).withColumn("run", F.sum("new").over(w)).groupBy("key", "hash", "run").agg(F.min("hit_start").alias("hit_start"), F.max("hit_end").alias("hit_end"))
+    return joined.select(F.col("key").alias(key), "hit_start", "hit_end").distinct()
 
 
 def shared_parts(df: DataFrame, key: str, text: str, hits: DataFrame) -> DataFrame:
