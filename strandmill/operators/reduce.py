@@ -1,8 +1,9 @@
 """Grouping windows by their sequence: singletons, counts, headers, abundance vectors.
 
 Windows are rows (ref, start, strand, kmer). Nothing depends on how they are partitioned; an empty input gives an empty result.
-A hot k-mer is counted map-side before any shuffle; where counts go back to the occurrences they do so by a join,
+A hot k-mer is counted map-side before any shuffle; where counts go back to the occurrences they do so by a merge join,
 whose skewed partitions adaptive execution splits, and not by a window, which would put a hot k-mer into one task.
+The join is named by a hint: the planner takes exploded windows to be as small as the records and would broadcast them.
 """
 
 from __future__ import annotations
@@ -37,16 +38,18 @@ def groups(kmers: DataFrame, k: int) -> DataFrame:
 
 def vec_count(kmers: DataFrame) -> DataFrame:
     """(ref, strand, pos, count): each occurrence with the size of its group."""
-    n = seq_count(kmers)
+    n = seq_count(kmers).hint("merge")
     return kmers.join(n, "kmer").select("ref", "strand", F.col("start").alias("pos"), F.col("n").alias("count"))
 
 
 def vec_count_masked(kmers: DataFrame) -> DataFrame:
-    """(ref, strand, pos, count): each occurrence with the number of those in its group on other refs, where there are any."""
+    """(ref, strand, pos, count): each occurrence with the number of those in its group on other refs, where there are any.
+    Occurrences without a ref count nowhere."""
+    kmers = kmers.where("ref is not null and kmer is not null")  # said once, so that both uses of `own` share a shuffle
     own = kmers.groupBy("kmer", "ref").agg(F.count(F.lit(1)).alias("own"))
     total = own.groupBy("kmer").agg(F.sum("own").alias("total"), F.count(F.lit(1)).alias("refs")).where("refs > 1")
-    other = own.join(total, "kmer").select("kmer", "ref", (F.col("total") - F.col("own")).alias("count"))
-    return kmers.join(other, ["kmer", "ref"]).select("ref", "strand", F.col("start").alias("pos"), "count")
+    other = own.join(total.hint("merge"), "kmer").select("kmer", "ref", (F.col("total") - F.col("own")).alias("count"))
+    return kmers.join(other.hint("merge"), ["kmer", "ref"]).select("ref", "strand", F.col("start").alias("pos"), "count")
 
 
 def duplicates(vector: DataFrame) -> DataFrame:
@@ -62,7 +65,7 @@ def dense(vector: DataFrame) -> DataFrame:
     last = vector.groupBy("ref", "strand").agg(F.max("pos").alias("last"))
     block = last.select("ref", "strand", "last", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"last div {BLOCK}"))).alias("b"))
     at = F.explode(F.sequence(F.col("b") * BLOCK, F.least(F.col("last"), F.col("b") * BLOCK + (BLOCK - 1))))
-    return block.select("ref", "strand", at.alias("pos")).join(cell, ["ref", "strand", "pos"], "left").select("ref", "strand", "pos", F.coalesce("count", F.lit(0).cast("bigint")).alias("count"))
+    return block.select("ref", "strand", at.alias("pos")).join(cell.hint("merge"), ["ref", "strand", "pos"], "left").select("ref", "strand", "pos", F.coalesce("count", F.lit(0).cast("bigint")).alias("count"))
 
 
 def vector_lines(vector: DataFrame, k: int) -> DataFrame:
