@@ -10,6 +10,7 @@ Defined cases: null texts and those without any word are no spam; with fewer tha
 
 from __future__ import annotations
 
+import functools
 import re
 from collections.abc import Iterator
 
@@ -21,13 +22,14 @@ from pyspark.sql import functions as F
 
 from strandmill.llm.bpe import strings
 
-SAMPLE = 20_000  # labelled rows that are fitted at most
+SAMPLE = 4_000  # labelled rows that are fitted at most
 MIN_LABELS = 8
 LAGS = 24
 WINDOW = 25  # terms of a stretch
 ROWS = 250  # texts handled at once
 
 TERM = re.compile(r"https?://\S+|[^\W\d_]+(?:\d+[^\W_]*)?|\d[\w]*")
+LINK = re.compile(r"https?://\S+")
 HIDDEN = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
 BROKEN = re.compile(r"(?<=\w)[*._\u00ad\u200b-\u200f\u2060\ufeff](?=\w)")
 LEET = re.compile(r"[^\W\d_]\d|\d[^\W\d_]")
@@ -53,6 +55,12 @@ def _terms(texts: list[str]) -> tuple[list[list[str]], list[str]]:
     return [["<url>" if w[:4] == "http" and "://" in w else w for w in TERM.findall(t)] for t in plain], plain
 
 
+@functools.lru_cache(200_000)
+def _marks(w: str) -> int:
+    """Whether a term is a function word, short, a link, letters with digits among them, a number: a bit for each."""
+    return (w in FUNCTION) | (len(w) <= 2 and not w.isdigit()) << 1 | (w == "<url>") << 2 | bool(LEET.search(w)) << 3 | w.isdigit() << 4
+
+
 def features(texts: list[str], weights: dict[str, float]) -> np.ndarray:
     """One row of NAMES for each text."""
     lists, plain = _terms(texts)
@@ -63,9 +71,9 @@ def features(texts: list[str], weights: dict[str, float]) -> np.ndarray:
     code = code.astype(np.int64)
     per = np.maximum(n, 1)
     share = lambda mask: np.bincount(doc, mask, len(texts)) / per
-    of_term = lambda f, kind=float: np.fromiter((f(w) for w in vocabulary), kind, len(vocabulary))[code] if flat else np.zeros(0, kind)
-    function, short, url = of_term(FUNCTION.__contains__, bool), of_term(lambda w: len(w) <= 2 and not w.isdigit(), bool), of_term("<url>".__eq__, bool)
-    leet, digits, weight = of_term(lambda w: bool(LEET.search(w)), bool), of_term(str.isdigit, bool), of_term(lambda w: weights.get(w, 0.0))
+    marks = np.fromiter(map(_marks, vocabulary), np.uint8, len(vocabulary))[code] if flat else np.zeros(0, np.uint8)
+    function, short, url, leet, digits = (marks & (1 << i) > 0 for i in range(5))
+    weight = np.fromiter((weights.get(w, 0.0) for w in vocabulary), float, len(vocabulary))[code] if flat else np.zeros(0)
     f: dict[str, np.ndarray] = {"log_terms": np.log1p(n), "function": share(function), "short": share(short), "url_terms": share(url), "leet": share(leet), "digits": share(digits), "weight": share(weight), "weight_high": share(weight > 1), "weight_low": share(weight < -0.5)}
 
     # Recurrence: positions in the order of (text, term, position); a lag over it gives the gap to the term's last occurrence, a second one the gap before.
@@ -120,7 +128,7 @@ def features(texts: list[str], weights: dict[str, float]) -> np.ndarray:
     for name, mark in COUNTED.items():
         f[name] = count(lambda t, m=mark: t.count(m)) / per
     f["log_chars"] = np.log1p(chars)
-    f["url_chars"] = np.fromiter((sum(len(m) for m in re.findall(r"https?://\S+", t)) for t in plain), float, len(texts)) / chars
+    f["url_chars"] = np.fromiter((sum(map(len, LINK.findall(t))) if "://" in t else 0 for t in plain), float, len(texts)) / chars
     lines = [[x for x in t.split("\n") if x.strip()] for t in texts]
     f["url_lines"] = np.array([sum("://" in x for x in y) / max(len(y), 1) for y in lines])
     f["line_terms"] = np.log1p(n / np.array([max(len(y), 1) for y in lines]))
