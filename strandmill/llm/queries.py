@@ -12,7 +12,7 @@ from strandmill.plans.tables import table
 
 
 def clean_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "fasta_records").select("record_id", F.translate("seq", " \r", "").alias("seq"))
+    return table(spark, sf_dir, "fasta_records", spread=True).select("record_id", F.translate("seq", " \r", "").alias("seq"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,7 +28,7 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same for the texts of documents, in pieces of at most 1,500 characters that overlap by 100."""
-    return split.split_oversized(table(spark, sf_dir, "documents"), "doc_id", "text", 1500, 100, split.PROSE)
+    return split.split_oversized(table(spark, sf_dir, "documents", spread=True), "doc_id", "text", 1500, 100, split.PROSE)
 
 
 def p4_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(kmer, n): the 20 values with the most rows."""
-    return topk.top_k(table(spark, sf_dir, "kmers"), clean_kmer(F.col("kmer")), 20).withColumnRenamed("value", "kmer")
+    return topk.top_k(table(spark, sf_dir, "kmers", spread=True), clean_kmer(F.col("kmer")), 20).withColumnRenamed("value", "kmer")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,7 +83,7 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(span_id, hit_start, hit_end): the stretches of each row that rows of other refs share."""
-    return spans.shared_spans(table(spark, sf_dir, "long_kmers"), "span_id", "ref", "kmer")
+    return spans.shared_spans(table(spark, sf_dir, "long_kmers", spread=True), "span_id", "ref", "kmer")
 
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,12 +93,12 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, ids) of every document."""
-    return bpe.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return bpe.encode(table(spark, sf_dir, "documents", spread=True), "doc_id", "text")
 
 
 def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, mix.Plan, DataFrame]:
     targets = table(spark, sf_dir, "mix_targets")
-    return *mix.mix(table(spark, sf_dir, "documents"), "doc_id", "source", "text", targets), targets
+    return *mix.mix(table(spark, sf_dir, "documents", spread=True), "doc_id", "source", "text", targets), targets
 
 
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,8 +114,8 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, score): above 0 for spam."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return spam.spam_scores(docs, "doc_id", "text", spam.fit(docs, "doc_id", "text", table(spark, sf_dir, "spam_labels"), "doc_id", "is_spam"))
+    model = spam.fit(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "spam_labels"), "doc_id", "is_spam")
+    return spam.spam_scores(table(spark, sf_dir, "documents", spread=True), "doc_id", "text", model)
 
 
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
