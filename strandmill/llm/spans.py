@@ -147,7 +147,7 @@ def shared_spans(df: DataFrame, key: str, source: str, text: str) -> DataFrame:
     row = rows.schema["row"].dataType.simpleString()
     anchors = rows.mapInArrow(_anchors, f"row {row}, source bigint, pos int, code bigint")
     near = _of_several(anchors, ["code"]).groupBy("row").agg(F.collect_set("pos").alias("anchors"))
-    likely = materialise(rows.dropDuplicates(["row"]).join(near, "row").select("row", "source", "text", "anchors"), "anchored")
+    likely = materialise(rows.dropDuplicates(["row"]).join(near.hint("merge"), "row").select("row", "source", "text", "anchors"), "anchored")
     windows = likely.mapInArrow(_windows, f"row {row}, source bigint, pos int, hi bigint, lo bigint")
     starts = _of_several(windows, ["hi", "lo"]).groupBy("row").agg(F.collect_set("pos").alias("starts"))
     hits = starts.mapInArrow(_merge, f"row {row}, hit_start bigint, hit_end bigint").select("row.key", "row.hash", "hit_start", "hit_end")
