@@ -13,7 +13,7 @@ from strandmill.functions import coords, formats
 from strandmill.functions.alphabet import normalise, record_name
 from strandmill.operators import extract, layout, reduce
 from strandmill.plans.tables import records
-from strandmill.sources import store
+from strandmill.sources import fasta, store
 from strandmill.sources.shared import new_path, width
 
 K, CHUNK, BATCH = 12, 64, 10_000
@@ -222,6 +222,32 @@ def q_store_roundtrip(spark, d):
     return KmerEngine(spark).from_store(path, K, "DNA", True).seq_count()
 
 
+@query
+def q_fasta_scan(spark, d):
+    """Records written as FASTA files and scanned again."""
+    path = new_path(spark, "fasta")
+    fasta.write_parts(records(spark, d).select(F.concat("ref", F.lit(" from documents")).alias("header"), "seq"), path)
+    return fasta.read_fasta(spark, path).select("title", "ref", "seq")
+
+
+@query
+def q_batch_files(spark, d):
+    """k-mers written as sorted FASTA batches and read again from the folder."""
+    path = new_path(spark, "batches")
+    kmers(spark, d, True).write_batches(path, "gzip")
+    return store.read_batches(spark, path, K)
+
+
+@query
+def q_vector_files(spark, d):
+    """The lines of written vector files. A gzip file is one task's, so ids that rise within a task number its lines."""
+    path = new_path(spark, "vectors")
+    kmers(spark, d, True).write_vectors(path)
+    lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    first = lines.groupBy("file").agg(F.min("at").alias("first"))
+    return lines.join(first.hint("merge"), "file").select("file", (F.col("at") - F.col("first")).alias("line_no"), "line")
+
+
 W = "[ACGT]+"
 BASE = f"""rec AS (SELECT 'doc' || doc_id AS ref, upper(regexp_replace(text, '[^ACGTKacgtk]', '', 'g')) AS seq FROM documents),
  a AS (SELECT ref, i AS start, substring(seq, i + 1, {K}) AS kmer FROM (SELECT ref, seq, unnest(range(0, greatest(length(seq) - {K} + 1, 0))) AS i FROM rec)),
@@ -278,6 +304,9 @@ def oracle() -> dict[str, str]:
         "feed_flow": f"SELECT ref, {PARTS} FROM v UNION ALL SELECT ref, {PARTS} FROM w",
         "feed_replace": f"SELECT ref, {PARTS} FROM w",
         "scan_modes_agree": "SELECT kmer, count(*) AS by_record, count(*) AS by_chunk FROM v GROUP BY kmer",
+        "fasta_scan": "SELECT 'doc' || doc_id || ' from documents' AS title, 'doc' || doc_id AS ref, coalesce(regexp_replace(text, '[^ACGTKacgtk]', '', 'g'), '') AS seq FROM documents",
+        "batch_files": "SELECT ref, start, strand, kmer FROM w",
         "store_roundtrip": "SELECT kmer, count(*) AS n FROM w GROUP BY kmer",
     }
+    tails["vector_files"] = tails["vector_lines"]
     return {name: f"WITH {BASE}\n{tail}" for name, tail in tails.items()}

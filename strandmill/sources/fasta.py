@@ -13,6 +13,7 @@ import glob
 import gzip
 import io
 import os
+import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -24,9 +25,17 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 SCHEMA = "title string, ref string, seq string, offset bigint"
 
 
+def local(path: str) -> str:
+    """A path without its file: scheme. Other schemes aren't for this source; see read_fasta_text."""
+    path = re.sub(r"^file:(//)?(?=/)", "", path)
+    if "://" in path:
+        raise ValueError(f"not a local or mounted path: {path}")
+    return path
+
+
 def files_of(path: str, some: bool = True) -> list[str]:
     """Data files of a file, folder or pattern; names that start with '.' or '_' are left out. some: it is an error if there are none."""
-    path = path.removeprefix("file://")
+    path = local(path)
     found = sorted(glob.glob(path)) if glob.has_magic(path) else [path]
     out = []
     for p in found:
@@ -134,11 +143,11 @@ class Part(WriterCommitMessage):
 
 
 class PartsWriter(DataSourceWriter):
-    """Rows (header, seq) as FASTA, or with option layout=tsv all columns as lines. One file per task, named in the order of the tasks,
+    """Rows (header, seq) as FASTA, nulls as empty, or with option layout=tsv all columns as lines. One file per task, named in the order of the tasks,
     so that the parts of a sorted input can be concatenated. A file gets its name when the job commits: attempts never mix."""
 
     def __init__(self, options, overwrite: bool, names: list[str]) -> None:
-        self.path = options["path"].removeprefix("file://")
+        self.path = local(options["path"])
         self.tsv, self.gz = options.get("layout", "fasta") == "tsv", options.get("compression", "none") == "gzip"
         self.names, self.overwrite = names, overwrite
         if not overwrite and os.path.isdir(self.path) and os.listdir(self.path):
@@ -156,7 +165,7 @@ class PartsWriter(DataSourceWriter):
                 if self.tsv:
                     f.write("\t".join("" if x is None else str(x) for x in row) + "\n")
                 else:
-                    f.write(f">{row['header']}\n{row['seq']}\n")
+                    f.write(f">{row['header'] or ''}\n{row['seq'] or ''}\n")
                 n += 1
         return Part(temporary, final, n)
 
@@ -198,7 +207,7 @@ class VectorSink(DataSource):
 
 class VectorWriter(DataSourceWriter):
     def __init__(self, options, overwrite: bool) -> None:
-        self.path, self.k = options["path"].removeprefix("file://"), int(options["k"])
+        self.path, self.k = local(options["path"]), int(options["k"])
         if not overwrite and os.path.isdir(self.path) and os.listdir(self.path):
             raise FileExistsError(f"not empty: {self.path}")
 
