@@ -121,7 +121,7 @@ def mix(docs: DataFrame, key: str, source: str, text: str, targets: DataFrame, t
         short = short | ((F.col("source") == name) & (F.col("rank") >= n))
     end = slots.where(short).agg(F.min("slot").alias("slot")).first().slot
     kept = slots.where(F.col("slot") < (p.slots if end is None else end))
-    return kept.join(dealt, ["source", "rank"]).select("slot", "source", F.col("key").alias(key), "copy", "tokens"), p
+    return kept.join(dealt.hint("merge"), ["source", "rank"]).select("slot", "source", F.col("key").alias(key), "copy", "tokens"), p
 
 
 def shares(mixed: DataFrame, p: Plan, targets: DataFrame, key: str) -> DataFrame:
