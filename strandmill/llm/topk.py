@@ -76,7 +76,9 @@ def top_k(df: DataFrame, value: Column, k: int, nodes: int | None = None) -> Dat
         found = sums.orderBy(F.desc("n")).limit(k).collect()  # k numbers
         return found[-1].n if len(found) == k else 0
 
-    bound = kth(counts.where("leader").groupBy("value").agg(F.sum("n").alias("n")).select("n"))
+    leaders = counts.where("leader")
+    bound = kth(leaders.groupBy("value").agg(F.sum("n").alias("n")).select("n"))
+    nodes = max(1, leaders.select("node").distinct().count())  # those that hold anything
     share = -(-bound // nodes)
     partial = materialise(local.where(F.col("n") >= share).groupBy("value").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("at")), "partial-counts")
     bound = max(bound, kth(partial.select("n")))
