@@ -154,51 +154,62 @@ def term_weights(texts: list[str], labels: np.ndarray, least: int = 3) -> dict[s
 
 
 class Boosted:
-    """Gradient boosting of shallow trees on binned features, for two classes."""
+    """Gradient boosting of shallow trees on binned features, for two classes. Each tree sees a share of the rows and of the features, so that
+    a few dozen labels are not fitted by a single lucky feature."""
 
-    def __init__(self, rounds: int = 120, depth: int = 3, rate: float = 0.15, bins: int = 32, least: float = 1.0) -> None:
+    def __init__(self, rounds: int = 200, depth: int = 2, rate: float = 0.15, bins: int = 32, least: float = 0.3, rows: float = 0.7, columns: float = 0.15, seed: int = 0) -> None:
         self.rounds, self.depth, self.rate, self.bins, self.least = rounds, depth, rate, bins, least
+        self.rows, self.columns, self.seed = rows, columns, seed
         self.trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
+        rng = np.random.default_rng(self.seed)
         edges = [np.unique(np.quantile(c, np.linspace(0, 1, self.bins + 1)[1:-1])) for c in x.T]
         binned = np.column_stack([np.searchsorted(e, c, side="left") for e, c in zip(edges, x.T)])
         p = (y.sum() + 1) / (len(y) + 2)
         self.base, score = float(np.log(p / (1 - p))), np.full(len(y), np.log(p / (1 - p)))
-        width, across = self.bins + 1, np.arange(x.shape[1])
         for _ in range(self.rounds):
             q = 1 / (1 + np.exp(-score))
             g, h = y - q, np.maximum(q * (1 - q), 1e-6)
-            inner = 2**self.depth - 1
-            feature, cut, leaf = np.zeros(inner, int), np.full(inner, np.inf), np.zeros(2**self.depth)
-            node = np.zeros(len(y), int)
-            for i in range(inner):
-                rows = np.flatnonzero(node == i)
-                best = None
-                if len(rows) >= 4:
-                    flat = (binned[rows] + across * width).ravel()
-                    gs, hs = (np.bincount(flat, np.repeat(v[rows], x.shape[1]), width * x.shape[1]).reshape(-1, width).cumsum(1) for v in (g, h))
-                    gt, ht = gs[:, -1:], hs[:, -1:]
-                    gain = gs**2 / (hs + 1) + (gt - gs) ** 2 / (ht - hs + 1) - gt**2 / (ht + 1)
-                    gain[(hs < self.least) | (ht - hs < self.least)] = 0
-                    at = int(gain.argmax())
-                    best = divmod(at, width) if gain.flat[at] > 1e-6 else None
-                if best and best[1] < len(edges[best[0]]):
-                    feature[i], cut[i] = best[0], edges[best[0]][best[1]]
-                node[rows] = 2 * i + 1 + (x[rows, feature[i]] > cut[i])
-            node -= inner
-            leaf = np.bincount(node, g, 2**self.depth) / (np.bincount(node, h, 2**self.depth) + 1)
-            self.trees.append((feature, cut, leaf * self.rate))
-            score = score + self.trees[-1][2][node]
+            picked = np.sort(rng.choice(x.shape[1], max(1, int(self.columns * x.shape[1])), replace=False))
+            tree = self._tree(x, binned, edges, g, h, np.flatnonzero(rng.random(len(y)) < self.rows), picked)
+            self.trees.append(tree)
+            score = score + tree[2][self._leaf(tree, x)]
         return self
 
+    def _tree(self, x: np.ndarray, binned: np.ndarray, edges: list[np.ndarray], g: np.ndarray, h: np.ndarray, rows: np.ndarray, picked: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(feature and cut of each inner node, value of each leaf); a node without a useful cut sends all rows to its left."""
+        width, across, inner = self.bins + 1, np.arange(len(picked)), 2**self.depth - 1
+        feature, cut = np.full(inner, picked[0]), np.full(inner, np.inf)
+        node = np.zeros(len(rows), int)
+        for i in range(inner):
+            mine = np.flatnonzero(node == i)
+            here = rows[mine]
+            if len(here) >= 4:
+                flat = (binned[np.ix_(here, picked)] + across * width).ravel()
+                gs, hs = (np.bincount(flat, np.repeat(v[here], len(picked)), width * len(picked)).reshape(-1, width).cumsum(1) for v in (g, h))
+                gt, ht = gs[:, -1:], hs[:, -1:]
+                gain = gs**2 / (hs + 1) + (gt - gs) ** 2 / (ht - hs + 1) - gt**2 / (ht + 1)
+                gain[(hs < self.least) | (ht - hs < self.least)] = 0
+                best, at = divmod(int(gain.argmax()), width)
+                if gain.max() > 1e-6 and at < len(edges[picked[best]]):
+                    feature[i], cut[i] = picked[best], edges[picked[best]][at]
+            node[mine] = 2 * i + 1 + (x[here, feature[i]] > cut[i])
+        node -= inner
+        value = np.bincount(node, g[rows], inner + 1) / (np.bincount(node, h[rows], inner + 1) + 1)
+        return feature, cut, value * self.rate
+
+    def _leaf(self, tree: tuple[np.ndarray, np.ndarray, np.ndarray], x: np.ndarray) -> np.ndarray:
+        feature, cut, _ = tree
+        node = np.zeros(len(x), int)
+        for _ in range(self.depth):
+            node = 2 * node + 1 + (x[np.arange(len(x)), feature[node]] > cut[node])
+        return node - len(feature)
+
     def score(self, x: np.ndarray) -> np.ndarray:
         out = np.full(len(x), self.base)
-        for feature, cut, leaf in self.trees:
-            node = np.zeros(len(x), int)
-            for _ in range(self.depth):
-                node = 2 * node + 1 + (x[np.arange(len(x)), feature[node]] > cut[node])
-            out += leaf[node - len(feature)]
+        for tree in self.trees:
+            out += tree[2][self._leaf(tree, x)]
         return out
 
 
