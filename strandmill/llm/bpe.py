@@ -4,6 +4,7 @@ Texts are cut into words by the tokenizer's pattern; each distinct word that a w
 its bytes. A recursive query joins neighbours with the merge table and contracts, in each word, its pair of least rank, until no pair
 has a rank; an ordered aggregation makes the rows of a word a list of ids again. All occurrences of a word's least pair are contracted in one
 step, leftmost first where they overlap: a pair that holds a new token always has a greater rank, so the remaining ones would be next anyway.
+That holds where every merge joins tokens that earlier merges made, which is checked when the file is read.
 
 Two exact shortcuts keep the recursion shallow and small: a text is first cut before a space or line break that ends a sentence or line, where no word can
 cross, so that repeated sentences are looked up; and a word is cut where no token of the vocabulary can hold the bytes of both sides.
@@ -15,15 +16,19 @@ from __future__ import annotations
 
 import functools
 import json
+import os
 import re
 import tempfile
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandmill.llm.runs import strings
+
 BUFFER = 8_000_000  # characters that are encoded together
 KNOWN = 400_000  # words whose ids a worker keeps; when there are more it starts anew
 
@@ -75,6 +80,11 @@ class Encoder:
         self.of_byte = np.array([vocab[x] for x in letters], np.int32)
         back = {x: b for b, x in enumerate(letters)}
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        made: dict[str, int] = {}
+        for rank, (a, b) in enumerate(merges):
+            if max(made.get(a, -1), made.get(b, -1)) >= rank or (len(a) > 1 and a not in made) or (len(b) > 1 and b not in made):
+                raise ValueError(f"merge {rank} joins a token that no earlier merge makes")
+            made.setdefault(a + b, rank)
         texts = [bytes(back[x] for x in a + b) for a, b in merges]
         self.bytes_of = {vocab[a + b]: t for (a, b), t in zip(merges, texts, strict=True)} | {int(i): bytes([b]) for b, i in enumerate(self.of_byte)}
         column = lambda xs: pa.array(xs, pa.int32())
@@ -148,13 +158,6 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def strings(column: pa.Array) -> list[str | None]:
-    try:
-        return column.to_pylist()
-    except UnicodeDecodeError:
-        return [None if x is None else x.decode("utf-8", "replace") for x in column.cast(pa.binary()).to_pylist()]
-
-
 def buffered(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[list[pa.Array], list[str | None]]]:
     """The id columns and texts of about BUFFER characters at a time."""
     ids: list[pa.Array] = []
@@ -179,16 +182,25 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _found(df: DataFrame, tokenizer: str | None) -> Callable[[], str]:
+    """Where a worker finds the tokenizer: a given file is sent to all of them, the default one is part of their installation."""
+    if tokenizer is None:
+        return default_path
+    df.sparkSession.sparkContext.addFile(tokenizer)
+    name = os.path.basename(tokenizer)
+    return lambda: SparkFiles.get(name)
+
+
 def _typed(df: DataFrame, key: str) -> tuple[DataFrame, str]:
     return df.select(F.col(key).alias("k"), F.col("__text").alias("t")), dict(df.dtypes)[key]
 
 
 def encode(df: DataFrame, key: str, text: str, tokenizer: str | None = None) -> DataFrame:
-    """(key, ids ARRAY<INT>), one row for each row of df. tokenizer: the JSON file, at a place that all workers can read."""
-    path = tokenizer or default_path()
+    """(key, ids ARRAY<INT>), one row for each row of df. tokenizer: the JSON file, on the driver."""
+    path = _found(df, tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(path)
+        coder = encoder(path())
         for ids, texts in buffered(batches):
             packed = coder.encode(texts)
             keys = pa.concat_arrays(ids)
@@ -204,10 +216,10 @@ def encode(df: DataFrame, key: str, text: str, tokenizer: str | None = None) ->
 
 def token_counts(df: DataFrame, key: str, text: str, tokenizer: str | None = None, name: str = "tokens") -> DataFrame:
     """(key, tokens BIGINT), one row for each row of df."""
-    path = tokenizer or default_path()
+    path = _found(df, tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(path)
+        coder = encoder(path())
         for ids, texts in buffered(batches):
             n = np.fromiter(map(len, coder.encode(texts)), np.int64, len(texts)) // 4
             yield pa.RecordBatch.from_arrays([pa.concat_arrays(ids), pa.array(n)], names=["k", "n"])
@@ -218,10 +230,10 @@ def token_counts(df: DataFrame, key: str, text: str, tokenizer: str | None = Non
 
 def decode(df: DataFrame, key: str, ids: str, tokenizer: str | None = None) -> DataFrame:
     """(key, text) from lists of ids; bytes that aren't UTF-8 become U+FFFD; null gives null, an unknown id is an error."""
-    path = tokenizer or default_path()
+    path = _found(df, tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of = encoder(path).bytes_of
+        of = encoder(path()).bytes_of
         for b in batches:
             texts = [None if x is None else b"".join(of[i] for i in x).decode("utf-8", "replace") for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=["k", "text"])

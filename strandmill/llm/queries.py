@@ -112,6 +112,28 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix.shares(mixed, p, targets, "doc_id")
 
 
+def p9_holds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source, n_documents, used, share_holds, cap_holds): the documents of each source that have a text, whether any is in the mix, whether its tokens
+    are its target share (scaled up where a source has no documents) of those of the mix, within 8 blocks and two of the longest documents, and whether no document is
+    used more often than it may be."""
+    mixed, p, targets = _mixed(spark, sf_dir)
+    report = mix.shares(mixed, p, targets, "doc_id")
+    have = table(spark, sf_dir, "documents").where("text <> ''").groupBy(mix.normal(F.col("source")).alias("source")).agg(F.count(F.lit(1)).alias("n_documents"))
+    share = F.lit(0.0)
+    for name, scaled, *_ in p.sources:
+        share = F.when(F.col("source") == name, scaled).otherwise(share)
+    whole = mixed.agg(F.sum("tokens").alias("n"), F.max("tokens").alias("longest")).first()
+    near = F.abs(F.col("tokens") - share * (whole.n or 0)) <= 8 * p.block + 2 * (whole.longest or 0)
+    out = report.join(have, "source", "left").select("source", F.coalesce("n_documents", F.lit(0)).alias("n_documents"), (F.col("n_records") > 0).alias("used"), near.alias("share_holds"), (F.col("most_repeats") <= F.col("max_repeats")).alias("cap_holds"))
+    return out
+
+
+def p10_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, signal, value): the signals of recurrence, autocorrelation and lists of each document with a text."""
+    rows = spam.spam_signals(table(spark, sf_dir, "documents", spread=True), "doc_id", "text")
+    return rows.select("doc_id", F.posexplode("signals").alias("at", "value")).select("doc_id", F.get(F.array(*map(F.lit, spam.SIGNALS)), F.col("at")).alias("signal"), "value")
+
+
 def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, score): above 0 for spam."""
     model = spam.fit(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "spam_labels"), "doc_id", "is_spam")
@@ -123,11 +145,31 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p10_scores(spark, sf_dir).where("score > 0").select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p3_documents, p4_found, p4_terms, p5_found, p5_top, p6_found, p6_report, p7_found, p7_shares, p8_ids, p9_mix, p9_shares, p10_found, p10_scores)}
+QUERIES = {f.__name__: f for f in (p3_found, p3_pieces, p3_documents, p4_found, p4_terms, p5_found, p5_top, p6_found, p6_report, p7_found, p7_shares, p8_ids, p9_mix, p9_shares, p9_holds, p10_found, p10_scores, p10_signals)}
 
 CLEAN = "upper(trim(kmer, ' ' || chr(9) || chr(13)))"
 USABLE = f"SELECT * REPLACE ({CLEAN} AS kmer) FROM kmers WHERE regexp_full_match({CLEAN}, '[ACGT]{{31}}')"
 
+SPACE = " \\t\\n\\r\\x0b\\x0c\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
+
+
+def ends(pattern: str, less: int = 0) -> str:
+    """SQL: where the matches of a pattern in s end, less a few characters."""
+    parts, found = f"regexp_split_to_array(s, '{pattern}')", f"regexp_extract_all(s, '{pattern}')"
+    return f"[list_sum([length(x) FOR x IN {parts}[1:i]]) + list_sum([length(x) FOR x IN {found}[1:i]]) - {less} FOR i IN range(1, len({found}) + 1)]"
+
+
+def pieces_sql(rows: str, key: str, levels: list[str], limit: int, overlap: int) -> str:
+    """SQL for all pieces of rows (key, s): (key, piece_no, piece_start, piece_end, piece)."""
+    names = ", ".join(f"c{i}" for i in range(len(levels)))
+    cuts = ", ".join(f"{x} AS c{i}" for i, x in enumerate(levels))
+    end = lambda a: f"""CASE WHEN n - ({a}) <= {limit} THEN n ELSE coalesce({", ".join(f"list_max([x FOR x IN c{i} IF x > {a} + {overlap} AND x <= {a} + {limit}])" for i in range(len(levels)))}, {a} + {limit}) END::BIGINT"""
+    return f"""WITH RECURSIVE rec AS ({rows}), marks AS (SELECT {key}, s, length(s) AS n, {cuts} FROM rec WHERE s IS NOT NULL),
+walk AS (SELECT {key}, s, n, {names}, 0::BIGINT AS no, 0::BIGINT AS a, {end("0")} AS b FROM marks
+ UNION ALL SELECT {key}, s, n, {names}, no + 1, b - {overlap}, {end(f"(b - {overlap})")} FROM walk WHERE b < n)
+SELECT {key}, no AS piece_no, a AS piece_start, b AS piece_end, substring(s, a + 1, b - a) AS piece FROM walk"""
+
+
 PIECES = r"""WITH RECURSIVE rec AS (SELECT record_id, translate(seq, ' ' || chr(13), '') AS s FROM fasta_records),
 big AS (SELECT record_id, s, length(s) AS n, regexp_split_to_array(s, '[Nn-]{10,}') AS parts, regexp_extract_all(s, '[Nn-]{10,}') AS gaps FROM rec WHERE length(s) > 2000),
 marks AS (SELECT record_id, s, n, [list_sum([length(x) FOR x IN parts[1:i]]) + list_sum([length(x) FOR x IN gaps[1:i]]) FOR i IN range(1, len(gaps) + 1)] AS cuts FROM big),
@@ -156,6 +198,11 @@ hits AS (SELECT span_id, min(i) AS hit_start, max(i) + 50 AS hit_end FROM runs G
 
 ORACLE = {
     "p3_found": PIECES,
+    "p3_pieces": pieces_sql("SELECT record_id, translate(seq, ' ' || chr(13), '') AS s FROM fasta_records", "record_id", [ends("[Nn-]{10,}")], 2000, 40),
+    "p3_documents": pieces_sql("SELECT doc_id, text AS s FROM documents", "doc_id", [ends("\\n=", 1), ends(f"\\n[ \\t\\r]*\\n[{SPACE}]*"), ends(f"[.!?。！？]+[{SPACE}]+"), ends(f"[{SPACE}]+")], 1500, 100),
+    "p9_holds": r"""SELECT source, coalesce(n, 0) AS n_documents, coalesce(n, 0) > 0 AS used, true AS share_holds, true AS cap_holds FROM
+ (SELECT DISTINCT lower(trim(source, E' \t\r\n')) AS source FROM mix_targets) LEFT JOIN
+ (SELECT lower(trim(source, E' \t\r\n')) AS source, count(*) AS n FROM documents WHERE text <> '' GROUP BY 1) USING (source)""",
     "p4_found": f"{TERMS} SELECT field, term, mark FROM marked WHERE mark IS NOT NULL",
     "p4_terms": f"{TERMS} SELECT * FROM marked",
     "p5_found": f"WITH usable AS ({USABLE}) SELECT kmer FROM usable GROUP BY kmer ORDER BY count(*) DESC, kmer LIMIT 20",

@@ -1,11 +1,14 @@
 """Pages that are spam: repeated keywords, runs of links or product tags instead of sentences.
 
 Method: of each text, the gaps after which its terms recur and its positional autocorrelation (how often the term `lag` places before is the same), taken with
-lag windows over term positions; unnaturally regular repetition, and long stretches of many distinct nouns without function words, mark spam.
-These, with the shares of links, list marks and broken-up words, are the features of a small gradient-boosted classifier, fitted on a bounded sample
-of labelled rows; term weights from the same sample are fitted crosswise, so that no row sees its own label. Everything else covers all rows and whole texts.
+lag windows over term positions; unnaturally regular repetition, and long stretches of many distinct nouns without function words, mark spam. These signals alone decide:
+a fixed prior over four of them, corrected by small gradient-boosted trees that are fitted to the labelled rows there are - none, a handful or SAMPLE -
+in the same way. Links are one term, and so are tags, whatever they name; words that marks break into bits of one or two letters are mended first.
 
-Defined cases: null texts and those without any word are no spam; with fewer than MIN_LABELS labels of either kind, a fixed rule on the same features decides.
+Signals are taken where the texts are; the driver gets those of the labelled rows only, SAMPLE rows of numbers at most.
+
+Defined cases: null texts and those without any word are no spam; labels that are null, neither 0 nor 1, or of unknown documents don't count; of several labels
+of a document one counts; without labels the prior decides.
 """
 
 from __future__ import annotations
@@ -20,19 +23,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandmill.llm.bpe import strings
+from strandmill.llm.runs import strings
 
 SAMPLE = 4_000  # labelled rows that are fitted at most
-MIN_LABELS = 8
 LAGS = 24
 WINDOW = 25  # terms of a stretch
 ROWS = 250  # texts handled at once
 
-TERM = re.compile(r"https?://\S+|[^\W\d_]+(?:\d+[^\W_]*)?|\d[\w]*")
-LINK = re.compile(r"https?://\S+")
+TERM = re.compile(r"https?://\S+|#[^\W_]\w+|[^\W\d_]+(?:\d+[^\W_]*)?|\d[\w]*")
 HIDDEN = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
-BROKEN = re.compile(r"(?<=\w)[*._\u00ad\u200b-\u200f\u2060\ufeff](?=\w)")
-LEET = re.compile(r"[^\W\d_]\d|\d[^\W\d_]")
+MARK = re.compile("[*._]")
+BIT = re.compile(r"[*._][^\W\d_]{1,2}[*._]")
+BROKEN = re.compile(r"(?<![^\W\d_])[^\W\d_]{0,2}(?:[*._][^\W\d_]{1,2}){2,}(?![^\W\d_])[*._]?")
 # Function words of several languages.
 FUNCTION = frozenset(
     """a an and are as at be been but by for from had has have he her his if in into is it its may not of on or she so than that the their them then there these they this to was
@@ -41,29 +43,31 @@ FUNCTION = frozenset(
     и в во не на он она оно с со как а то все но да к у же за по из от о об для это его ее при был было были до ни что и η ο το οι τα των του της και σε με για από στο στη την τον είναι δεν
     في من على إلى عن أن هو هي كان التي الذي ولا ما لا و""".split()
 )
-COUNTED = {"url": "http", "link": "[[", "template": "{{", "ref": "<ref", "heading": "==", "bar": "|", "bullet": "•", "hash": "#", "star": "★", "tag": "<", "cell": "||", "outer": "[http"}
-NAMES = [
-    "log_chars", "log_terms", "distinct", "function", "top1", "top3", "top10", "url_chars", "url_terms", "url_lines", "short", "broken", "hidden", "leet", "digits", "upper", "comma", "stop",
-    *COUNTED, "money", "dash", "line_terms", "recur_near", "recur_any", "gap_cv", "gap_steady", "gap_mean", "auto_max", "auto_mean", "auto_lag", "listlike", "nounlike", "latin",
-    "weight", "weight_high", "weight_windows", "weight_low",
+SIGNALS = [
+    "log_terms", "function", "distinct", "top1", "top3", "top10", "recur_near", "recur_any", "gap_cv", "gap_steady", "gap_mean", "auto_max", "auto_mean", "auto_lag",
+    "listlike", "nounlike",
 ]
-FITTED = 4  # the last features, which need term weights
+# The prior: (signal, middle, reach, weight). A signal adds from -weight at middle - reach to +weight at middle + reach.
+PRIOR = (("recur_near", 0.25, 0.15, 1.0), ("function", 0.15, 0.1, -1.0), ("auto_mean", 0.03, 0.02, 0.5), ("listlike", 0.3, 0.3, 0.5))
+PRIOR_BASE = -0.5
 
 
-def _terms(texts: list[str]) -> tuple[list[list[str]], list[str]]:
-    plain = [HIDDEN.sub("", t).lower() for t in texts]
-    return [["<url>" if w[:4] == "http" and "://" in w else w for w in TERM.findall(t)] for t in plain], plain
+def _terms(text: str) -> list[str]:
+    plain = HIDDEN.sub("", text)
+    if BIT.search(plain):
+        plain = BROKEN.sub(lambda m: MARK.sub("", m[0]), plain)
+    return ["<url>" if w[:4] == "http" and "://" in w else "<tag>" if w[0] == "#" else w for w in TERM.findall(plain.lower())]
 
 
 @functools.lru_cache(200_000)
 def _marks(w: str) -> int:
-    """Whether a term is a function word, short, a link, letters with digits among them, a number: a bit for each."""
-    return (w in FUNCTION) | (len(w) <= 2 and not w.isdigit()) << 1 | (w == "<url>") << 2 | bool(LEET.search(w)) << 3 | w.isdigit() << 4
+    """Whether a term is a function word, a link or tag or number: a bit for each."""
+    return (w in FUNCTION) | (w[0] == "<" or w.isdigit()) << 1
 
 
-def features(texts: list[str], weights: dict[str, float]) -> np.ndarray:
-    """One row of NAMES for each text."""
-    lists, plain = _terms(texts)
+def signals(texts: list[str]) -> np.ndarray:
+    """One row of SIGNALS for each text."""
+    lists = list(map(_terms, texts))
     n = np.array([len(x) for x in lists], np.int64)
     doc = np.repeat(np.arange(len(texts)), n)
     flat = [w for x in lists for w in x]
@@ -72,9 +76,8 @@ def features(texts: list[str], weights: dict[str, float]) -> np.ndarray:
     per = np.maximum(n, 1)
     share = lambda mask: np.bincount(doc, mask, len(texts)) / per
     marks = np.fromiter(map(_marks, vocabulary), np.uint8, len(vocabulary))[code] if flat else np.zeros(0, np.uint8)
-    function, short, url, leet, digits = (marks & (1 << i) > 0 for i in range(5))
-    weight = np.fromiter((weights.get(w, 0.0) for w in vocabulary), float, len(vocabulary))[code] if flat else np.zeros(0)
-    f: dict[str, np.ndarray] = {"log_terms": np.log1p(n), "function": share(function), "short": share(short), "url_terms": share(url), "leet": share(leet), "digits": share(digits), "weight": share(weight), "weight_high": share(weight > 1), "weight_low": share(weight < -0.5)}
+    function, other = marks & 1 > 0, marks & 2 > 0
+    f: dict[str, np.ndarray] = {"log_terms": np.log1p(n), "function": share(function)}
 
     # Recurrence: positions in the order of (text, term, position); a lag over it gives the gap to the term's last occurrence, a second one the gap before.
     order = np.lexsort((np.arange(len(code)), code, doc))
@@ -109,65 +112,43 @@ def features(texts: list[str], weights: dict[str, float]) -> np.ndarray:
         auto[:, lag - 1] = np.bincount(doc[lag:], hit, len(texts)) / np.maximum(n - lag, 1)
     f["auto_max"], f["auto_mean"], f["auto_lag"] = auto.max(1), auto.mean(1), auto.argmax(1).astype(float)
 
-    # Stretches of WINDOW terms within a text: without function words, and with what weights.
+    # Stretches of WINDOW terms within a text: without function words, and most of them words.
     stretch = (np.arange(len(code)) - np.repeat(np.cumsum(n) - n, n)) // WINDOW
     key = np.cumsum(np.append(0, np.maximum(-(-n // WINDOW), 1)))
     cell = key[doc] + stretch
     size = np.maximum(np.bincount(cell, minlength=key[-1]), 1)
     owner = np.repeat(np.arange(len(texts)), np.diff(key))
-    words = np.bincount(cell, ~(digits | url), key[-1])
+    words = np.bincount(cell, ~other, key[-1])
     bare = np.bincount(cell, function, key[-1]) <= 0.04 * size
     cells = np.maximum(np.bincount(owner, size, len(texts)), 1)
     f["listlike"] = np.bincount(owner, bare * size, len(texts)) / cells
     f["nounlike"] = np.bincount(owner, (bare & (words > 0.6 * size)) * size, len(texts)) / cells
-    f["weight_windows"] = np.bincount(owner, (np.bincount(cell, weight, key[-1]) > 0.3 * size) * size, len(texts)) / cells
-
-    # Marks in the text as it is.
-    chars = np.array([max(len(t), 1) for t in texts], float)
-    count = lambda g: np.fromiter(map(g, texts), float, len(texts))
-    for name, mark in COUNTED.items():
-        f[name] = count(lambda t, m=mark: t.count(m)) / per
-    f["log_chars"] = np.log1p(chars)
-    f["url_chars"] = np.fromiter((sum(map(len, LINK.findall(t))) if "://" in t else 0 for t in plain), float, len(texts)) / chars
-    lines = [[x for x in t.split("\n") if x.strip()] for t in texts]
-    f["url_lines"] = np.array([sum("://" in x for x in y) / max(len(y), 1) for y in lines])
-    f["line_terms"] = np.log1p(n / np.array([max(len(y), 1) for y in lines]))
-    f["broken"] = count(lambda t: len(BROKEN.findall(t))) / chars
-    f["hidden"] = count(lambda t: len(HIDDEN.findall(t))) / chars
-    f["upper"] = count(lambda t: sum(map(str.isupper, t.split()))) / per
-    f["comma"] = count(lambda t: t.count(",") + t.count("، ") + t.count("、")) / per
-    f["stop"] = count(lambda t: t.count(". ") + t.count(".\n") + t.count("。")) / per
-    f["money"] = count(lambda t: t.count("$") + t.count("€") + t.count("EUR")) / per
-    f["dash"] = count(lambda t: t.count(" - ") + t.count(" – ")) / per
-    f["latin"] = count(lambda t: len(t.encode("ascii", "ignore"))) / chars
-    return np.column_stack([f[x] for x in NAMES])
-
-
-def term_weights(texts: list[str], labels: np.ndarray, least: int = 3) -> dict[str, float]:
-    """Log odds of each term to be in spam, by the texts that hold it, smoothed."""
-    seen: dict[str, list[int]] = {}
-    for words, y in zip(_terms(texts)[0], labels.tolist()):
-        for w in set(words):
-            seen.setdefault(w, [0, 0])[y] += 1
-    total = np.bincount(labels, minlength=2) + 2.0
-    return {w: float(np.log((b + 0.5) / total[1]) - np.log((a + 0.5) / total[0])) for w, (a, b) in seen.items() if a + b >= least}
+    return np.column_stack([f[x] for x in SIGNALS])
+
+
+def prior(x: np.ndarray) -> np.ndarray:
+    """The score before any label: terms that recur soon and at regular lags, and stretches with hardly a function word."""
+    out = np.full(len(x), PRIOR_BASE)
+    for name, middle, reach, weight in PRIOR:
+        out += weight * np.clip((x[:, SIGNALS.index(name)] - middle) / reach, -1, 1)
+    return out
 
 
 class Boosted:
-    """Gradient boosting of shallow trees on binned features, for two classes. Each tree sees a share of the rows and of the features, so that
-    a few dozen labels are not fitted by a single lucky feature."""
+    """Gradient boosting of shallow trees on binned features, for two classes, from a given score of each row. Each tree sees a share of the rows and
+    of the features, so that a few dozen labels are not fitted by a single lucky feature."""
 
-    def __init__(self, rounds: int = 200, depth: int = 2, rate: float = 0.15, bins: int = 32, least: float = 0.3, rows: float = 0.7, columns: float = 0.15, seed: int = 0) -> None:
+    def __init__(self, rounds: int = 200, depth: int = 2, rate: float = 0.15, bins: int = 32, least: float = 0.3, rows: float = 0.7, columns: float = 0.3, seed: int = 0) -> None:
         self.rounds, self.depth, self.rate, self.bins, self.least = rounds, depth, rate, bins, least
         self.rows, self.columns, self.seed = rows, columns, seed
         self.trees: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Boosted:
+    def fit(self, x: np.ndarray, y: np.ndarray, score: np.ndarray) -> Boosted:
         rng = np.random.default_rng(self.seed)
+        if not len(x):
+            return self
         edges = [np.unique(np.quantile(c, np.linspace(0, 1, self.bins + 1)[1:-1])) for c in x.T]
         binned = np.column_stack([np.searchsorted(e, c, side="left") for e, c in zip(edges, x.T)])
-        p = (y.sum() + 1) / (len(y) + 2)
-        self.base, score = float(np.log(p / (1 - p))), np.full(len(y), np.log(p / (1 - p)))
         for _ in range(self.rounds):
             q = 1 / (1 + np.exp(-score))
             g, h = y - q, np.maximum(q * (1 - q), 1e-6)
@@ -207,59 +188,53 @@ class Boosted:
         return node - len(feature)
 
     def score(self, x: np.ndarray) -> np.ndarray:
-        out = np.full(len(x), self.base)
+        """What the trees add to the given score."""
+        out = np.zeros(len(x))
         for tree in self.trees:
             out += tree[2][self._leaf(tree, x)]
         return out
 
 
-def rule(x: np.ndarray) -> np.ndarray:
-    """Without labels: terms that recur soon and regularly, or links, and hardly a function word or sentence."""
-    v = dict(zip(NAMES, x.T))
-    regular = (v["recur_near"] > 0.33) & (v["auto_mean"] > 0.03) & (v["function"] < 0.12)
-    links = (v["url_terms"] > 0.25) & (v["function"] < 0.2)
-    return np.where((regular | links) & (v["stop"] < 0.05) & (v["bar"] < 0.5), 1.0, -1.0)
-
-
 class Model:
-    def __init__(self, texts: list[str], labels: np.ndarray) -> None:
-        self.weights: dict[str, float] = {}
-        self.trees: Boosted | None = None
-        if min(np.bincount(labels, minlength=2)) < MIN_LABELS:
-            return
-        self.weights = term_weights(texts, labels)
-        fold = np.arange(len(texts)) % 2
-        x = np.zeros((len(texts), len(NAMES)))
-        for k in (0, 1):
-            other = [t for t, f in zip(texts, fold) if f != k]
-            x[fold == k] = features([t for t, f in zip(texts, fold) if f == k], term_weights(other, labels[fold != k]))
-        self.trees = Boosted().fit(x, labels)
-
-    def score(self, texts: list[str]) -> np.ndarray:
-        x = features(texts, self.weights)
-        out = self.trees.score(x) if self.trees else rule(x)
-        return np.where(x[:, NAMES.index("log_terms")] > 0, out, -np.inf)
+    """The prior and the trees fitted to labelled rows of SIGNALS."""
 
+    def __init__(self, x: np.ndarray, labels: np.ndarray) -> None:
+        self.trees = Boosted().fit(x, labels, prior(x))
 
-def fit(df: DataFrame, key: str, text: str, labels: DataFrame, label_key: str, label: str, sample: int = SAMPLE) -> Model:
-    """labels: rows (label_key, label 0 or 1). At most `sample` of them, picked by a hash, are looked up and fitted; others don't matter."""
-    picked = labels.where(F.col(label).isin(0, 1) & F.col(label_key).isNotNull()).select(F.col(label_key).alias("k"), F.col(label).cast("int").alias("y")).dropDuplicates(["k"])
-    picked = picked.orderBy(F.xxhash64("k"), "k").limit(sample)
-    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t is not null").join(F.broadcast(picked), "k")  # at most `sample` labels
-    found = rows.orderBy(F.xxhash64("k"), "k").limit(sample).collect()
-    return Model([r.t for r in found], np.array([r.y for r in found], np.int64))
+    def score(self, x: np.ndarray) -> np.ndarray:
+        """Above 0 for spam; texts without a term get -inf."""
+        return np.where(x[:, SIGNALS.index("log_terms")] > 0, prior(x) + self.trees.score(x), -np.inf)
 
 
-def spam_scores(df: DataFrame, key: str, text: str, model: Model) -> DataFrame:
-    """(key, score) of every row with a text; spam is what has a score above 0."""
-    kind = dict(df.dtypes)[key]
-    sent = df.sparkSession.sparkContext.broadcast(model)
+def _by_rows(df: DataFrame, key: str, text: str, of, name: str, kind: str) -> DataFrame:
+    """(key, name), with of(signals of some texts) as the values of the new column; rows with null texts are left out."""
+    key_kind = dict(df.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(0, b.num_rows, ROWS):
                 part = b.slice(i, ROWS)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sent.value.score(strings(part.column(1))))], names=["k", "score"])
+                yield pa.RecordBatch.from_arrays([part.column(0), of(signals(strings(part.column(1))))], names=["k", name])
 
     rows = df.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t is not null")
-    return rows.mapInArrow(run, f"k {kind}, score double").withColumnRenamed("k", key)
+    return rows.mapInArrow(run, f"k {key_kind}, {name} {kind}").withColumnRenamed("k", key)
+
+
+def spam_signals(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, signals ARRAY<DOUBLE>, in the order of SIGNALS) of every row with a text."""
+    return _by_rows(df, key, text, lambda x: pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(SIGNALS)).cast(pa.list_(pa.float64())), "signals", "array<double>")
+
+
+def fit(df: DataFrame, key: str, text: str, labels: DataFrame, label_key: str, label: str, sample: int = SAMPLE) -> Model:
+    """labels: rows (label_key, label 0 or 1). At most `sample` of them, picked by a hash, are looked up and fitted; others don't matter."""
+    known = labels.where(F.col(label).isin(0, 1) & F.col(label_key).isNotNull()).groupBy(F.col(label_key).alias("k")).agg(F.max(label).cast("int").alias("y"))
+    picked = known.orderBy(F.xxhash64("k"), "k").limit(sample)
+    rows = df.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t is not null").join(F.broadcast(picked), "k")  # at most `sample` labels
+    found = spam_signals(rows.select(F.struct("k", "y").alias("row"), "t"), "row", "t").select("row.k", "row.y", "signals").orderBy(F.xxhash64("k"), "k", "signals").limit(sample).collect()
+    return Model(np.array([r.signals for r in found], float).reshape(-1, len(SIGNALS)), np.array([r.y for r in found], np.int64))
+
+
+def spam_scores(df: DataFrame, key: str, text: str, model: Model) -> DataFrame:
+    """(key, score) of every row with a text; spam is what has a score above 0."""
+    sent = df.sparkSession.sparkContext.broadcast(model)  # 200 small trees
+    return _by_rows(df, key, text, lambda x: pa.array(sent.value.score(x)), "score", "double")

@@ -55,6 +55,10 @@ def test_split_oversized(spark, rows):
     assert rows(split.split_oversized(df.limit(0), "id", "t", 10, 2)) == []
     with pytest.raises(ValueError):
         split.split_oversized(df, "id", "t", 10, 10)
+    # Bytes that aren't UTF-8: é cut in half is one character, and positions are those of the decoded text.
+    broken = spark.sql("SELECT 1L AS id, cast(unhex(concat('C3', repeat('41', 5), 'FF', repeat('42', 6))) AS string) AS t UNION ALL SELECT 2L, cast(unhex('E2824142') AS string)")
+    assert rows(split.split_oversized(broken, "id", "t", 10, 2, only_oversized=True)) == [(1, 0, 0, 10, "\ufffdAAAAA\ufffdBBB"), (1, 1, 8, 13, "BBBBB")]
+    assert rows(split.split_oversized(broken, "id", "t", 10, 2, with_text=False)) == [(1, 0, 0, 10), (1, 1, 8, 13), (2, 0, 0, 3)]
 
 
 # Term frequencies

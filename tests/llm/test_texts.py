@@ -62,6 +62,23 @@ def test_encode_and_decode(spark, reference):
     assert bpe.encode(df.limit(0), "id", "text").collect() == []
 
 
+def test_tokenizer_files(spark, tmp_path, reference):
+    import json
+    import shutil
+
+    mine = tmp_path / "mine.json"
+    shutil.copy(P.path("byte_bpe_50k.json"), mine)
+    df = spark.createDataFrame([(1, "some words, some more")], "id bigint, text string")
+    assert bpe.encode(df, "id", "text", str(mine)).first().ids == reference(["some words, some more"])[0]
+    whole = json.loads(mine.read_text())
+    merges = whole["model"]["merges"]
+    late = next(i for i, m in enumerate(merges) if len((m.split(" ") if isinstance(m, str) else m)[0]) > 1)
+    merges.insert(0, merges.pop(late))  # joins a token that isn't there yet
+    mine.write_text(json.dumps(whole))
+    with pytest.raises(ValueError, match="merge 0 "):
+        bpe.Encoder(str(mine))
+
+
 # Mixing
 
 
@@ -76,7 +93,7 @@ def documents(spark, n=900):
 def test_mix(spark, rows):
     docs = documents(spark)
     targets = spark.createDataFrame([("big", 0.5, 1), ("small", 0.25, 3), ("MID ", 0.25, 2), ("absent", 0.0, 1), ("nothing", 0.1, None)], "source string, target_share double, max_repeats int")
-    mixed, p = mix.mix(docs, "doc_id", "source", "text", targets)
+    mixed, p = mix.mix(docs, "doc_id", "source", "text", targets, block=16)
     mixed = mixed.cache()
     report = {r.source: r for r in mix.shares(mixed, p, targets, "doc_id").collect()}
     for name, share, repeats in (("big", 0.5, 1), ("small", 0.25, 3), ("mid", 0.25, 2)):
@@ -127,6 +144,14 @@ def test_running_total(spark):
     assert {r.i: r.before for r in got} == want
 
 
+def test_mix_that_is_less_than_a_block(spark, rows):
+    targets = spark.createDataFrame([("big", 1.0, 1)], "source string, target_share double, max_repeats int")
+    mixed, p = mix.mix(documents(spark, 50), "doc_id", "source", "text", targets, block=1_000_000)
+    assert rows(mixed) == [] and p.slots == 0
+    with pytest.raises(ValueError):
+        mix.mix(documents(spark, 50), "doc_id", "source", "text", targets, block=0)
+
+
 # Spam
 
 
@@ -140,20 +165,41 @@ def page(rng, spam_page):
 def test_spam_by_held_out_pages():
     rng = random.Random(12)
     labels = np.array([i % 3 == 0 for i in range(240)], np.int64)
-    texts = [page(rng, bool(y)) for y in labels]
-    m = spam.Model(texts[:160], labels[:160])
-    assert ((m.score(texts[160:]) > 0) == labels[160:]).mean() > 0.97
+    x = spam.signals([page(rng, bool(y)) for y in labels])
+    for n in (0, 6, 40, 160):  # no label, a handful, many: the same way
+        m = spam.Model(x[:n], labels[:n])
+        assert ((m.score(x[160:]) > 0) == labels[160:]).mean() > 0.97, n
+
+
+def test_signals_by_hand():
+    x = dict(zip(spam.SIGNALS, spam.signals(["a lamp and a lamp and", "p q r", ""]).T))
+    assert x["function"].tolist() == [4 / 6, 0, 0] and x["distinct"].tolist() == [0.5, 1, 0]
+    assert x["recur_near"].tolist() == [0.5, 0, 0] and x["gap_mean"][0] == np.log1p(3) and x["gap_cv"][0] == 0
+    assert x["auto_max"][0] == 1 and x["auto_lag"][0] == 2  # lag 3 holds everywhere
+    assert x["listlike"].tolist() == [0, 1, 1] and x["top1"].tolist() == [2 / 6, 1 / 3, 0]
+    assert spam._terms("http://a.b/c #Tag l*am*p m.as.te.ad. U.S. e.g. ro\u200bom 12") == ["<url>", "<tag>", "lamp", "mastead", "u", "s", "e", "g", "room", "12"]
+
+
+def test_signals_do_not_depend_on_neighbours():
+    rng = random.Random(14)
+    texts = [page(rng, i % 2 == 0) for i in range(30)] + ["", "\n", "word " * 3000]
+    assert np.array_equal(spam.signals(texts), np.vstack([spam.signals([t]) for t in texts]))
 
 
 def test_spam_queries_edges(spark, rows):
     rng = random.Random(13)
     data = [(i, page(rng, i % 2 == 0)) for i in range(60)] + [(100, None), (101, ""), (102, " \n"), (103, "x" * 50_000), (104, "a b " * 20_000), (100, None)]
-    docs = spark.createDataFrame(data, "doc_id bigint, text string").withColumns({"k": F.lit(1), "t": F.lit("t"), "y": F.lit(0)})
+    docs = spark.createDataFrame(data, "doc_id bigint, text string").withColumns({"k": F.lit(1), "t": F.lit("t"), "y": F.lit(0), "signals": F.lit(2)})
     labels = spark.createDataFrame([(i, (i + 1) % 2) for i in range(40)] + [(5, 0), (None, 1), (7, None), (999, 1), (8, 5)], "doc_id bigint, is_spam int")
     m = spam.fit(docs, "doc_id", "text", labels, "doc_id", "is_spam")
-    found = {r.doc_id for r in spam.spam_scores(docs, "doc_id", "text", m).where("score > 0").collect()}
+    find = lambda m: {r.doc_id for r in spam.spam_scores(docs, "doc_id", "text", m).where("score > 0").collect()}
+    found = find(m)
     assert set(range(0, 60, 2)) <= found and not found & {*range(1, 60, 2), 100, 101, 102}
     none = spam.fit(docs, "doc_id", "text", labels.limit(0), "doc_id", "is_spam")
-    assert none.trees is None and spam.spam_scores(docs, "doc_id", "text", none).count() == 65 - 1
+    assert none.trees.trees == [] and spam.spam_scores(docs, "doc_id", "text", none).count() == 65 - 1
+    assert set(range(0, 60, 2)) <= find(none) and not find(none) & {*range(1, 60, 2), 100, 101, 102}
     assert spam.spam_scores(docs.limit(0), "doc_id", "text", m).collect() == []
-    assert spam.fit(docs, "doc_id", "text", labels, "doc_id", "is_spam", sample=10).trees is None
+    few = spam.fit(docs, "doc_id", "text", labels, "doc_id", "is_spam", sample=10)
+    assert len(few.trees.trees) > 0 and set(range(0, 60, 2)) <= find(few)
+    broken = spark.sql("SELECT 1L AS doc_id, cast(unhex('FF4162FE') AS string) AS text")
+    assert spam.spam_signals(broken, "doc_id", "text").count() == 1
