@@ -22,8 +22,7 @@ from pyspark.sql import functions as F
 from strandmill.llm.bpe import token_counts
 from strandmill.sources.shared import materialise, width
 
-BLOCK = 2048  # tokens; fewer where a mix would have less than LEAST_SLOTS blocks
-LEAST_SLOTS = 2000
+BLOCK = 256  # tokens of a slot: small against a source, so that shares are exact to about BLOCK times the sources over the tokens of the mix
 CHUNK = 65_536  # slots that are ranked together
 GOLDEN = 0.6180339887498949
 
@@ -81,7 +80,6 @@ def plan(sizes: DataFrame, targets: DataFrame, block: int) -> Plan:
     usable = [x for x in found if (x[1] or 0) > 0 and (x[2] or 0) > 0 and x[3] > 0]
     total = sum(x[1] for x in usable)
     length = min((n * repeats * total / share for _, share, repeats, n in usable), default=0)
-    block = max(1, min(block, int(length // LEAST_SLOTS)))
     return Plan([(s, share / total, share, repeats, n) for s, share, repeats, n in sorted(usable)], int(length // block), block)
 
 
@@ -101,7 +99,10 @@ def schedule(sizes: DataFrame, p: Plan) -> DataFrame:
 
 
 def mix(docs: DataFrame, key: str, source: str, text: str, targets: DataFrame, tokenizer: str | None = None, block: int = BLOCK, seed: int = 0) -> tuple[DataFrame, Plan]:
-    """The rows (slot, source, key, copy, tokens) of the mix, and its plan. targets: (source, target_share, max_repeats); key tells the rows of docs apart."""
+    """The rows (slot, source, key, copy, tokens) of the mix, and its plan. targets: (source, target_share, max_repeats); key tells the rows of docs apart.
+    block: tokens of a slot, whatever the size of the mix; a mix of fewer tokens than that is empty."""
+    if block < 1:
+        raise ValueError("a block must hold at least one token")
     wanted = materialise(targets.select(normal(F.col("source")).alias("source"), "target_share", "max_repeats").where("source is not null").dropDuplicates(["source"]), "targets")
     listed = [r.source for r in wanted.select("source").collect()]
     rows = docs.select(F.struct(F.col(key).alias("key"), normal(F.col(source)).alias("source")).alias("k"), F.col(text).alias("t")).where(F.col("k.source").isin(listed))

@@ -4,7 +4,7 @@ Method: a hierarchy of separators, from the coarsest to the finest. Pieces are p
 that has one within the limit, and, where no level has one, after exactly `limit` characters; the next piece starts `overlap` characters before that end.
 
 Defined cases: a text of at most `limit` characters is one piece; an empty text gives one empty piece, and null none.
-Positions are characters, 0-based and half-open.
+Positions are characters, 0-based and half-open. Bytes that aren't UTF-8 count as U+FFFD, by which they are replaced: positions are those of the text so decoded.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandmill.llm.runs import strings
+
 # Boundaries lie at the end of a match. Prose: section, paragraph, sentence, word. Sequences: gaps.
 PROSE = (r"\n(?==)", r"\n[ \t\r]*\n\s*", r"[.!?。！？]+\s+", r"\s+")
 GAPS = (r"[Nn-]{10,}",)
@@ -50,7 +52,7 @@ def split_oversized(df: DataFrame, key: str, text: str, limit: int, overlap: int
         raise ValueError("overlap must be at least 0 and less than limit")
     rows = df.select(F.col(key).alias("k"), F.col(text).alias("t")).where("t is not null")
     if only_oversized:
-        rows = rows.where(F.length("t") > limit)
+        rows = rows.where(F.octet_length("t") > limit)  # no text has more characters than bytes; the exact check follows
     kind = dict(df.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,7 +63,9 @@ def split_oversized(df: DataFrame, key: str, text: str, limit: int, overlap: int
             for low in range(0, b.num_rows, 200):
                 part = b.slice(low, 200)
                 out, of = [], []
-                for i, t in enumerate(part.column(1).to_pylist()):
+                for i, t in enumerate(strings(part.column(1))):
+                    if only_oversized and len(t) <= limit:
+                        continue
                     for n, (start, end) in enumerate(pieces(t, limit, overlap, found)):
                         of.append(i)
                         out.append((n, start, end, t[start:end]) if with_text else (n, start, end))

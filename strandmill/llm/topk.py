@@ -1,6 +1,6 @@
 """The most frequent values of a column with too many distinct values to be kept.
 
-Method: three-phase threshold top-k. The nodes are the partitions of the input, merged without a shuffle into a set number; each sorts its rows (spilling
+Method: three-phase threshold top-k. The nodes are the partitions of the input, or these merged without a shuffle into a given number; each sorts its rows (spilling
 to disk) and writes its local counts and its own leaders. 1: the leaders' summed counts give a lower bound for the k-th count. 2: a value that reaches it
 has at least a node's share of it somewhere, so only local counts of at least the share are fetched; their sums raise the bound and drop what
 can't reach it even with less than the share on every other node. 3: the counts of the rest are fetched from all nodes and summed. The result is exact.
@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandmill.llm.runs import changed
-from strandmill.sources.shared import materialise, width
+from strandmill.sources.shared import materialise
 
 SCHEMA = "value string, n bigint, node int, leader boolean"
 
@@ -64,11 +64,11 @@ def _local(k: int):
 
 
 def top_k(df: DataFrame, value: Column, k: int, nodes: int | None = None) -> DataFrame:
-    """(value, n): the k most frequent values. nodes: how many parts hold local counts, by default as many as a shuffle has partitions."""
+    """(value, n): the k most frequent values. nodes: how many parts hold local counts at most, by default as many as the input has partitions; it also bounds the tasks that scan the input."""
     if k < 1:
         raise ValueError("k must be at least 1")
-    nodes = nodes or width(df.sparkSession)
-    rows = df.select(value.alias("value")).where("value is not null").coalesce(nodes).sortWithinPartitions("value")
+    rows = df.select(value.alias("value")).where("value is not null")
+    rows = (rows.coalesce(nodes) if nodes else rows).sortWithinPartitions("value")
     counts = materialise(rows.mapInArrow(_local(k), SCHEMA), "local-counts")
     local = counts.where("not leader").select("value", "n")
 
@@ -78,11 +78,11 @@ def top_k(df: DataFrame, value: Column, k: int, nodes: int | None = None) -> Dat
 
     leaders = counts.where("leader")
     bound = kth(leaders.groupBy("value").agg(F.sum("n").alias("n")).select("n"))
-    nodes = max(1, leaders.select("node").distinct().count())  # those that hold anything
-    share = -(-bound // nodes)
+    held = max(1, leaders.select("node").distinct().count())  # those that hold anything
+    share = -(-bound // held)
     partial = materialise(local.where(F.col("n") >= share).groupBy("value").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("at")), "partial-counts")
     bound = max(bound, kth(partial.select("n")))
-    likely = partial.where(F.col("n") + (nodes - F.col("at")) * max(share - 1, 0) >= bound).select("value")
+    likely = partial.where(F.col("n") + (held - F.col("at")) * max(share - 1, 0) >= bound).select("value")
     # Written, so that the planner knows its size: broadcast below the session's threshold, else a merge join.
     exact = local.join(materialise(likely, "candidates"), "value", "left_semi").groupBy("value").agg(F.sum("n").alias("n"))
     return exact.orderBy(F.desc("n"), "value").limit(k)
