@@ -158,39 +158,61 @@ def brute_spans(data, w=50):
     return sorted(out, key=repr)
 
 
-def test_spans(spark, rows, monkeypatch):
-    rng = random.Random(6)
+def shared_data(seed, span):
+    rng = random.Random(seed)
     letters = lambda n, a="ACGT": "".join(rng.choice(a) for _ in range(n))
-    pool = [letters(200) for _ in range(6)] + ["A" * 150, "AC" * 80]
+    pool = [letters(4 * span) for _ in range(6)] + ["A" * 3 * span, "AC" * 2 * span]
     data = []
     for i in range(40):
         t = ""
         for _ in range(rng.randrange(5)):
             p = rng.choice(pool)
-            a = rng.randrange(len(p) - 60)
-            t += letters(rng.randrange(60), "ACGTN") + p[a : a + rng.randrange(45, 120)]
+            a = rng.randrange(len(p) - span)
+            t += letters(rng.randrange(60), "ACGTN") + p[a : a + rng.randrange(span - 5, 2 * span)]
         data.append((i, rng.choice(["r1", "r2", "r3", None]), rng.choice([t, t.lower()])))
-    data += [(100, "r1", None), (101, "r1", ""), (102, "r9", "N" * 80), (103, "r1", "é" + "A" * 50), data[3], data[4]]
-    df = spark.createDataFrame(data, "id bigint, ref string, t string").withColumn("source", F.lit(1)).repartition(5)
-    want = brute_spans(data)
+    return data + [(100, "r1", None), (101, "r1", ""), (102, "r9", "N" * 80), (103, "r1", "é" + "A" * span), data[3], data[4]]
+
+
+@pytest.mark.parametrize("span", [50, 33, 7, 130])
+def test_spans(spark, rows, monkeypatch, span):
+    data = shared_data(6, span)
+    df = spark.createDataFrame(data, "id bigint, ref string, t string").withColumns({"source": F.lit(1), "pack": F.lit(0), "at": F.lit("x"), "letters": F.lit(2)}).repartition(5)
+    want = brute_spans(data, span)
     assert len(want) > 30
-    assert rows(spans.shared_spans(df, "id", "ref", "t")) == want
-    monkeypatch.setattr(spans, "HOT", 2)  # nearly every code is salted
+    assert rows(spans.shared_spans(df, "id", "ref", "t", span)) == want
+    monkeypatch.setattr(spans, "PACK", 300)  # many packs
+    monkeypatch.setattr(spans, "BUCKET", 50)  # and buckets
     monkeypatch.setattr(spans, "PIECE", 70)  # and nearly every text is cut
-    assert rows(spans.shared_spans(df, "id", "ref", "t")) == want
-    parts = rows(spans.shared_parts(df.dropDuplicates(["id"]), "id", "t", spans.shared_spans(df, "id", "ref", "t")))
-    covered = Counter()
-    for k, a, b in want:
-        covered[k] += b - a
-    assert {k: n for k, _, n, _ in parts} == {k: covered[k] for k, *_ in data}
-    assert rows(spans.shared_spans(df.limit(0), "id", "ref", "t")) == []
+    assert rows(spans.shared_spans(df, "id", "ref", "t", span)) == want
+    if span == 50:
+        parts = rows(spans.shared_parts(df.dropDuplicates(["id"]), "id", "t", spans.shared_spans(df, "id", "ref", "t")))
+        covered = Counter()
+        for k, a, b in want:
+            covered[k] += b - a
+        assert {k: n for k, _, n, _ in parts} == {k: covered[k] for k, *_ in data}
+        assert rows(spans.shared_spans(df.limit(0), "id", "ref", "t")) == []
+        named = df.select(F.concat(F.lit("row "), "id").alias("name"), "ref", "t")
+        assert rows(spans.shared_spans(named, "name", "ref", "t")) == sorted(((f"row {k}", a, b) for k, a, b in want), key=repr)
+
+
+def test_span_of_one_record_in_all(spark, rows):
+    """One window in every row of many sources: answered for each pack, whatever the number of its places."""
+    df = spark.range(3000).select("id", F.concat(F.lit("r"), F.col("id") % 7).alias("ref"), F.lit("ACGT" * 15).alias("t"))
+    assert rows(spans.shared_spans(df, "id", "ref", "t")) == sorted(((i, 0, 60) for i in range(3000)), key=repr)
+    assert rows(spans.shared_spans(df.withColumn("ref", F.lit("one")), "id", "ref", "t")) == []
+
+
+@pytest.mark.parametrize("bad", [0, -1, True, "50"])
+def test_bad_span(spark, bad):
+    with pytest.raises(ValueError):
+        spans.shape(bad)
 
 
 def test_packed_windows():
     rng = random.Random(8)
     text = "".join(rng.choice("acgtACGTN") for _ in range(300)) + "é"
     for w in (1, 2, 25, 30):
-        codes = spans.coded(text)
+        codes = spans.CODES[np.frombuffer(text.encode("ascii", "replace"), np.uint8)]
         got = {int(i): int(spans.packed(codes, w)[i]) for i in np.flatnonzero(spans.sound(codes, w))}
         want = {}
         for i in range(len(text) - w + 1):
@@ -200,8 +222,20 @@ def test_packed_windows():
         assert got == want
 
 
-def test_cover():
-    assert {(a - b) % spans.PERIOD for a in spans.COVER for b in spans.COVER} == set(range(spans.PERIOD))
-    for i in range(spans.PERIOD):
-        for j in range(spans.PERIOD):
-            assert any((i + d) % spans.PERIOD in spans.COVER and (j + d) % spans.PERIOD in spans.COVER for d in range(spans.PERIOD))
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text("ACGTacgtN-é𝔸", max_size=40), max_size=9))
+def test_letters_as_bytes(texts):
+    back = ["".join("ACGT-"[c] for c in spans.THREE[np.frombuffer(x.as_py(), np.uint8)].reshape(-1)) for x in spans.coded(texts)]
+    assert [x.rstrip("-") for x in back] == [re.sub("[^ACGT]", "-", t.upper()).rstrip("-") for t in texts]
+    assert all(len(t) < len(x) <= len(t) + 3 for t, x in zip(texts, back))
+
+
+def test_covers():
+    for period, cover in spans.COVERS.items():
+        for i in range(period):
+            for j in range(period):
+                assert any((i + d) % period in cover and (j + d) % period in cover for d in range(period))
+    for span in range(1, 300):
+        s = spans.shape(span)
+        assert s.anchor + s.period - 1 <= span and s.word <= spans.WORD >= s.anchor
+        assert set().union(*(range(a, a + s.word) for a in s.at)) == set(range(span))
