@@ -133,6 +133,41 @@ def test_ledger_edges(spark, rows):
     assert run(feed.limit(0)) == []
 
 
+def test_ledger_opened_again(spark, rows, tmp_path):
+    path = f"file:{tmp_path}/ledger"
+    frame = lambda data: spark.createDataFrame(data, "key string, arrival bigint")
+    one = ledger.KeyLedger(spark, path, 3)
+    one.remember(frame([("a", 9), ("b", 9), ("a", 9), (None, 9)]))
+    one.admit(frame([("b", 1), ("c", 2), ("c", 3), (None, 4)]))
+    assert rows(one.seen(frame([("b", 1), ("c", 2), ("c", 3), (None, 4)]))) == [("b", 1), ("c", 3)]
+    one.close()
+    two = ledger.KeyLedger(spark.newSession(), path)
+    assert two.buckets == 3 and rows(two.keys()) == [("a", None), ("b", None), ("c", 2)]
+    two.admit(frame([("c", 5), ("d", 6)]))
+    assert rows(two.seen(frame([("c", 5), ("d", 6)]))) == [("c", 5)]
+    with pytest.raises(ValueError):
+        ledger.KeyLedger(spark, path, 4)
+
+
+def test_ledger_merges_and_neither_sorts_nor_shuffles_its_runs(spark, rows, monkeypatch, tmp_path):
+    monkeypatch.setattr(ledger, "RUNS", 3)
+    book = ledger.KeyLedger(spark, str(tmp_path / "ledger"), 4)
+    book.remember(spark.range(500).selectExpr("'k' || id AS key"))
+    most, total = 0, 0
+    for i in range(8):
+        batch = spark.range(40).selectExpr(f"'n' || (id + {i * 20}) AS key", f"id + {i * 100} AS arrival")
+        book.admit(batch)
+        most, total = max(most, len(book.runs)), total + book.seen(batch).count()
+    assert most <= 3 and total == 7 * 20
+    assert book.keys().count() == book.keys().select("key").distinct().count() == 500 + 180
+    again = ledger.KeyLedger(spark, str(tmp_path / "ledger"))
+    assert again.runs == book.runs and sorted(x.name for x in (tmp_path / "ledger").glob("run-*")) == sorted(book.runs)
+    with ledger.ordered_scans(spark):
+        plan = again.unseen(spark.createDataFrame([("x", 1)], "key string, arrival bigint"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("SortMergeJoin") == len(again.runs) == plan.count("Bucketed: true") and plan.count("Exchange") == 1
+    assert len([x for x in plan.split("\n") if x.lstrip(" :+-*()0123456789").startswith("Sort ")]) == 1  # that of the batch
+
+
 # Shared spans
 
 
