@@ -1,4 +1,4 @@
-"""The engine: records -> k-mers -> reductions, all lazy DataFrames.
+"""The engine: records -> k-mers -> reductions, as DataFrames. Extraction and counts are lazy; what needs windows or cells twice writes them first.
 
     engine = KmerEngine(spark)
     kmers = engine.from_fasta("/data/genomes").kmers(k=21, reverse=True)
@@ -26,7 +26,7 @@ class KmerEngine:
 
     def from_fasta(self, path: str, chunk_letters: int = 0, overlap: int = 0) -> Records:
         """With chunk_letters, giant records come as chunks; overlap must then be k - 1 of the k that is used."""
-        return Records(fasta.read_fasta(self.spark, path, chunkLetters=chunk_letters, overlap=overlap))
+        return Records(fasta.read_fasta(self.spark, path, chunk_letters, overlap))
 
     def from_table(self, df: DataFrame, ref: str = "ref", seq: str = "seq") -> Records:
         return Records(df.select(F.col(ref).alias("ref"), F.col(seq).alias("seq")))
@@ -40,13 +40,13 @@ class KmerEngine:
 class Records:
     df: DataFrame
 
-    def kmers(self, k: int, reverse: bool = False, natype: str = "DNA", scan: str = "kmers", batch_size: int = 1_000_000, partitions: int | None = None) -> Kmers:
-        """scan and batch_size say how the work is dealt to tasks and never change the result."""
+    def kmers(self, k: int, reverse: bool = False, natype: str = "DNA", scan: str = "kmers", batch_size: int = 1_000_000, partitions: int | None = None, strand: str = "+") -> Kmers:
+        """scan and batch_size say how the work is dealt to tasks and never change the result. strand: that of the sequences as given."""
         if not isinstance(reverse, bool):
             raise ValueError("reverse must be a bool")
         letters(natype)
-        rows = extract.windows(self.df, k, reverse, natype, scan, batch_size, partitions or width(self.df.sparkSession))
-        return Kmers(rows, k, natype, reverse)
+        rows = extract.windows(self.df, k, reverse, natype, scan, batch_size, partitions or width(self.df.sparkSession), strand=strand)
+        return Kmers(rows, k, natype, reverse, self.df.select("ref"))
 
     def chunks(self, k: int, size: int) -> DataFrame:
         return extract.chunks(self.df, k, size)
@@ -58,6 +58,7 @@ class Kmers:
     k: int
     natype: str = "DNA"
     reverse: bool = False
+    refs: DataFrame | None = None  # where the refs can be read without cutting windows
 
     def count(self) -> DataFrame:
         return self.df.agg(F.count(F.lit(1)).alias("n"))
@@ -66,18 +67,22 @@ class Kmers:
         return reduce.seq_count(self.df)
 
     def uniq(self) -> DataFrame:
-        return reduce.unique(self.df)
+        return reduce.unique(self.df, self.refs)
 
     def groups(self) -> DataFrame:
         return reduce.groups(self.df, self.k)
 
-    def vec_count(self, dense: bool = False) -> DataFrame:
+    def group_chunks(self, size: int = reduce.GROUP) -> DataFrame:
+        return reduce.group_chunks(self.df, self.k, size)
+
+    def vec_count(self, dense: bool = False, replace: bool = False) -> DataFrame:
+        """replace: where a cell of a dense vector is filled twice the greatest count stays; else that is an error."""
         out = reduce.vec_count(self.df)
-        return reduce.dense(out) if dense else out
+        return reduce.dense(out, replace) if dense else out
 
-    def vec_count_masked(self, dense: bool = False) -> DataFrame:
+    def vec_count_masked(self, dense: bool = False, replace: bool = False) -> DataFrame:
         out = reduce.vec_count_masked(self.df)
-        return reduce.dense(out) if dense else out
+        return reduce.dense(out, replace) if dense else out
 
     def with_coords(self) -> DataFrame:
         return self.df.select("ref", "start", (F.col("start") + self.k).alias("end"), "strand", "kmer")
@@ -85,7 +90,8 @@ class Kmers:
     def feed(self, new: Kmers, mode: str = "append") -> Kmers:
         if (self.k, self.natype, self.reverse) != (new.k, new.natype, new.reverse):
             raise ValueError("both must have the same k, natype and reverse")
-        return replace(self, df=layout.feed(self.df, new.df, mode))
+        refs = layout.feed(self.refs, new.refs, mode) if self.refs and new.refs else None
+        return replace(self, df=layout.feed(self.df, new.df, mode), refs=refs)
 
     def save(self, path: str, batch_size: int = 1_000_000, compression: str = "zstd", mode: str = "errorifexists") -> None:
         store.write_store(self.df, path, self.k, self.natype, self.reverse, batch_size, compression, mode)
@@ -96,14 +102,20 @@ class Kmers:
         fasta.write_parts(rows.orderBy("kmer").select("header", F.col("kmer").alias("seq")), path, "fasta", compression, mode)
 
     def write_counts(self, path: str, compression: str = "none", mode: str = "append") -> None:
-        """Lines `kmer<tab>n`, ordered by sequence over all parts, by the built-in text writer."""
-        writer = self.seq_count().orderBy("kmer").select(count_text(F.col("kmer"), F.col("n")).alias("value")).write.mode(mode)
-        writer.option("compression", compression).text(path)
+        """Lines `kmer<tab>n`, ordered by sequence over all parts."""
+        rows = self.seq_count().orderBy("kmer").select(count_text(F.col("kmer"), F.col("n")).alias("line"))
+        fasta.write_parts(rows, path, "tsv", compression, mode)
+
+    def write_vectors(self, path: str, masked: bool = False, mode: str = "append", replace: bool = False) -> None:
+        fasta.write_vectors(reduce.vec_count_masked(self.df) if masked else reduce.vec_count(self.df), path, self.k, mode, replace)
+
+    def _batches(self) -> DataFrame:
+        return self.df.sortWithinPartitions("kmer").select(reduce.header(self.k).alias("header"), F.col("kmer").alias("seq"))
 
-    def write_vectors(self, path: str, masked: bool = False, mode: str = "append") -> None:
-        fasta.write_vectors(reduce.vec_count_masked(self.df) if masked else reduce.vec_count(self.df), path, self.k, mode)
+    def write_batches(self, path: str, compression: str = "none", mode: str = "append", batch_size: int = 1_000_000) -> None:
+        """FASTA batch files of at most batch_size records, each sorted by sequence."""
+        fasta.write_parts(self._batches(), path, "fasta", compression, mode, batch_size)
 
-    def write_batches(self, path: str, compression: str = "none", mode: str = "append") -> None:
-        """FASTA batch files, each sorted by sequence."""
-        rows = self.df.sortWithinPartitions("kmer").select(reduce.header(self.k).alias("header"), F.col("kmer").alias("seq"))
-        fasta.write_parts(rows, path, "fasta", compression, mode)
+    def append_batches(self, path: str, compression: str = "none", batch_size: int = 1_000_000) -> None:
+        """Further such files in a folder that may hold some."""
+        fasta.append_parts(self._batches(), path, compression, batch_size)

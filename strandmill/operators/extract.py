@@ -13,6 +13,9 @@ from strandmill.functions.alphabet import in_alphabet, letters, normalise, rever
 FINE = 256  # letters of a fine chunk: windows are cut from it, so that no substring walks far
 
 
+STRANDS = {"+": "-", "-": "+"}  # each with the other one
+
+
 def check_k(k: int, size: int | None = None) -> None:
     if isinstance(k, bool) or not isinstance(k, int) or k < 2:
         raise ValueError("k must be an integer of at least 2")
@@ -50,15 +53,18 @@ def spread_records(records: DataFrame, k: int, size: int, by: str, partitions: i
 
 def windows(
     records: DataFrame, k: int, reverse: bool = False, natype: str = "DNA", scan: str = "kmers",
-    batch_size: int = 1_000_000, partitions: int | None = None, fine: int = FINE, rejected: bool = False,
+    batch_size: int = 1_000_000, partitions: int | None = None, fine: int = FINE, rejected: bool = False, strand: str = "+",
 ) -> DataFrame:
     """All windows (ref, start, strand, kmer) of records (ref, seq[, offset]) with only letters of the alphabet;
     with `reverse` each also as its reverse complement, at the same start. rejected: the other windows, instead.
+    strand: that of the sequences as given ('+' or '-'); complements are of the other one.
 
     Work is on BINARY: the substring of a STRING walks from its start, which is quadratic in the record's length.
     """
     check_k(k, batch_size)
     letters(natype)
+    if strand not in STRANDS:
+        raise ValueError("strand must be '+' or '-'")
     fine = max(fine, 2 * k)
     out = spread_records(records, k, batch_size, scan, partitions)
     out = out.select("ref", "bytes", "offset", F.explode(starts(F.octet_length("bytes"), k, fine - k + 1)).alias("i"))
@@ -68,10 +74,10 @@ def windows(
     ok = in_alphabet(F.col("kmer"), natype)
     out = out.where(~ok if rejected else ok)
     if not reverse:
-        return out.select("ref", "start", F.lit("+").alias("strand"), "kmer")
+        return out.select("ref", "start", F.lit(strand).alias("strand"), "kmer")
     both = F.array(
-        F.struct(F.lit("+").alias("strand"), F.col("kmer").alias("kmer")),
-        F.struct(F.lit("-").alias("strand"), reverse_complement(F.col("kmer"), natype).alias("kmer")),
+        F.struct(F.lit(strand).alias("strand"), F.col("kmer").alias("kmer")),
+        F.struct(F.lit(STRANDS[strand]).alias("strand"), reverse_complement(F.col("kmer"), natype).alias("kmer")),
     )
     return out.select("ref", "start", F.explode(both).alias("w")).select("ref", "start", "w.strand", "w.kmer")
 

@@ -4,6 +4,7 @@ Windows are rows (ref, start, strand, kmer). Nothing depends on how they are par
 A hot k-mer is counted map-side before any shuffle; where counts go back to the occurrences they do so by a merge join,
 whose skewed partitions adaptive execution splits, and not by a window, which would put a hot k-mer into one task.
 The join is named by a hint: the planner takes exploded windows to be as small as the records and would broadcast them.
+Where windows are used twice they are written first, so that they are cut once.
 """
 
 from __future__ import annotations
@@ -12,8 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandmill.functions.coords import format_coords
+from strandmill.operators.hotkeys import chunk_by_key
+from strandmill.sources.shared import materialise, small
 
 BLOCK = 65_536  # positions filled at once in a dense vector
+GROUP = 10_000  # headers of a row of a group
 
 
 def header(k: int) -> Column:
@@ -25,19 +29,38 @@ def seq_count(kmers: DataFrame) -> DataFrame:
     return kmers.groupBy("kmer").agg(F.count(F.lit(1)).alias("n"))
 
 
-def unique(kmers: DataFrame) -> DataFrame:
-    """(ref, start, strand, kmer): the k-mers that occur once. With one row in a group the minimum is that row."""
-    once = kmers.groupBy("kmer").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("ref", "start", "strand")).alias("at"))
-    return once.where("n = 1").select("at.ref", "at.start", "at.strand", "kmer")
+def unique(kmers: DataFrame, refs: DataFrame | None = None) -> DataFrame:
+    """(ref, start, strand, kmer): the k-mers that occur once. refs: where their refs (column `ref`) can be read without cutting windows.
+
+    All that is grouped is of fixed width, for a hash aggregation without a sort: of one row the exclusive or is the row itself. A ref is known by two hashes, 96 bits,
+    by which it is looked up afterwards: in a broadcast table if all refs together are below the session's threshold, else by a merge join.
+    """
+    hashes = {"ref_a": F.xxhash64("ref"), "ref_b": F.hash("ref")}
+    parts = {"start": F.col("start"), "minus": (F.col("strand") == "-").cast("int"), **hashes}
+    once = kmers.groupBy("kmer").agg(F.count(F.lit(1)).alias("n"), *(F.bit_xor(c).alias(x) for x, c in parts.items())).where("n = 1")
+    known = materialise((kmers if refs is None else refs).select("ref").distinct().select("ref", *(c.alias(x) for x, c in hashes.items())), "refs")
+    known = F.broadcast(known) if small(known) else known.hint("merge")
+    return once.join(known, list(hashes)).select("ref", "start", F.when(F.col("minus") == 1, "-").otherwise("+").alias("strand"), "kmer")
 
 
 def groups(kmers: DataFrame, k: int) -> DataFrame:
-    """(kmer, headers, n), headers sorted. A hot k-mer is one large row by definition; only use it where the headers are needed."""
+    """(kmer, headers, n), headers sorted. A hot k-mer is one large row by definition; where that may be too large, take group_chunks."""
     return kmers.groupBy("kmer").agg(F.sort_array(F.collect_list(header(k))).alias("headers"), F.count(F.lit(1)).alias("n"))
 
 
+def group_chunks(kmers: DataFrame, k: int, size: int = GROUP) -> DataFrame:
+    """(kmer, chunk, headers, n): the groups in rows of at most `size` headers; the chunks of a k-mer, from 0, hold its headers in order.
+    Occurrences are numbered in (k-mer, header) order and cut into equal runs, so that a hot k-mer is shared by as many tasks as it has chunks."""
+    rows = chunk_by_key(kmers, F.col("kmer"), header(k), size).rows
+    run = rows.select(F.col("key").alias("kmer"), F.col("member").alias("header"), F.expr(f"row_no div {size}").alias("run")).repartition("run")
+    held = run.groupBy("run", "kmer").agg(F.sort_array(F.collect_list("header")).alias("headers"), F.count(F.lit(1)).alias("n"))
+    number = rows.select(F.col("key").alias("kmer"), F.expr(f"row_no div {size}").alias("run")).groupBy("kmer").agg(F.min("run").alias("first"))
+    return held.join(number.hint("merge"), "kmer").select("kmer", (F.col("run") - F.col("first")).alias("chunk"), "headers", "n")
+
+
 def vec_count(kmers: DataFrame) -> DataFrame:
     """(ref, strand, pos, count): each occurrence with the size of its group."""
+    kmers = materialise(kmers.select("ref", "start", "strand", "kmer").where("kmer is not null"), "windows")
     n = seq_count(kmers).hint("merge")
     return kmers.join(n, "kmer").select("ref", "strand", F.col("start").alias("pos"), F.col("n").alias("count"))
 
@@ -45,7 +68,7 @@ def vec_count(kmers: DataFrame) -> DataFrame:
 def vec_count_masked(kmers: DataFrame) -> DataFrame:
     """(ref, strand, pos, count): each occurrence with the number of those in its group on other refs, where there are any.
     Occurrences without a ref count nowhere."""
-    kmers = kmers.where("ref is not null and kmer is not null")  # said once, so that both uses of `own` share a shuffle
+    kmers = materialise(kmers.select("ref", "start", "strand", "kmer").where("ref is not null and kmer is not null"), "windows")
     own = kmers.groupBy("kmer", "ref").agg(F.count(F.lit(1)).alias("own"))
     total = own.groupBy("kmer").agg(F.sum("own").alias("total"), F.count(F.lit(1)).alias("refs")).where("refs > 1")
     other = own.join(total.hint("merge"), "kmer").select("kmer", "ref", (F.col("total") - F.col("own")).alias("count"))
@@ -57,12 +80,20 @@ def duplicates(vector: DataFrame) -> DataFrame:
     return vector.groupBy("ref", "strand", "pos").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
-def dense(vector: DataFrame) -> DataFrame:
-    """The vector with zeros from 0 up to the last position of each (ref, strand). A cell filled twice is an error."""
-    cell = vector.groupBy("ref", "strand", "pos").agg(F.count(F.lit(1)).alias("n"), F.max("count").alias("count"))
-    twice = F.raise_error(F.concat(F.lit("cell filled twice: "), F.col("ref"), F.lit(" "), F.col("strand"), F.lit(" "), F.col("pos").cast("string")))
-    cell = cell.select("ref", "strand", "pos", F.when(F.col("n") > 1, twice.cast("bigint")).otherwise(F.col("count")).alias("count"))
-    last = vector.groupBy("ref", "strand").agg(F.max("pos").alias("last"))
+def cells(vector: DataFrame, replace: bool = False) -> DataFrame:
+    """(ref, strand, pos, count), one row for each cell. A cell that is filled twice is an error, unless one count may replace another; then the greatest stays."""
+    one = vector.groupBy("ref", "strand", "pos").agg(F.count(F.lit(1)).alias("n"), F.max("count").alias("count"))
+    if not replace:
+        # A filter, as a column with the error in it would be left out of a plan that doesn't need its value.
+        twice = F.raise_error(F.concat(F.lit("cell filled twice: "), F.col("ref"), F.lit(" "), F.col("strand"), F.lit(" "), F.col("pos").cast("string"))).cast("boolean")
+        one = one.where(F.when(F.col("n") > 1, twice).otherwise(True))
+    return one.select("ref", "strand", "pos", "count")
+
+
+def dense(vector: DataFrame, replace: bool = False) -> DataFrame:
+    """The vector with zeros from 0 up to the last position of each (ref, strand). The cells are written first, and what `cells` has against them is raised then."""
+    cell = materialise(cells(vector, replace), "cells")
+    last = cell.groupBy("ref", "strand").agg(F.max("pos").alias("last"))
     block = last.select("ref", "strand", "last", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"last div {BLOCK}"))).alias("b"))
     at = F.explode(F.sequence(F.col("b") * BLOCK, F.least(F.col("last"), F.col("b") * BLOCK + (BLOCK - 1))))
     return block.select("ref", "strand", at.alias("pos")).join(cell.hint("merge"), ["ref", "strand", "pos"], "left").select("ref", "strand", "pos", F.coalesce("count", F.lit(0).cast("bigint")).alias("count"))

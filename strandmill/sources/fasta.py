@@ -1,290 +1,248 @@
-"""FASTA files as a Spark data source (`fasta`), and writers of ordered FASTA/TSV parts and of vector files.
+"""FASTA and vector files on any file system that Hadoop knows, by Spark's own text reader and writer.
 
-    spark.dataSource.register(FastaSource)
-    spark.read.format("fasta").load("/data/reads")          # file, folder or pattern; .gz is read as gzip
+    read_fasta(spark, "/data/reads")          # file, folder or pattern; .gz, .bz2 ... are unpacked by their names
 
-Plain files are cut into byte ranges; a record belongs to the range in which its '>' line starts. Letters are read in
-blocks, so with option chunkLetters a chromosome comes as overlapping chunks with offsets and never as one value.
+Files are read in splits of spark.sql.files.maxPartitionBytes. By default the text reader cuts at line starts with '>', so that each record is one value. With chunk_letters
+it cuts at lines, and a chromosome comes as overlapping chunks with offsets, never as one value: only the first and the last record of a split may be parts of
+longer ones, and these few are brought together by the order of the splits in their file.
 """
 
 from __future__ import annotations
 
-import glob
-import gzip
-import io
-import os
 import re
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
-
-SCHEMA = "title string, ref string, seq string, offset bigint"
-
-
-def local(path: str) -> str:
-    """A path without its file: scheme. Other schemes aren't for this source; see read_fasta_text."""
-    path = re.sub(r"^file:(//)?(?=/)", "", path)
-    if "://" in path:
-        raise ValueError(f"not a local or mounted path: {path}")
-    return path
-
-
-def files_of(path: str, some: bool = True) -> list[str]:
-    """Data files of a file, folder or pattern; names that start with '.' or '_' are left out. some: it is an error if there are none."""
-    path = local(path)
-    found = sorted(glob.glob(path)) if glob.has_magic(path) else [path]
-    out = []
-    for p in found:
-        if os.path.isdir(p):
-            out += [os.path.join(p, n) for n in sorted(os.listdir(p)) if n[0] not in "._" and os.path.isfile(os.path.join(p, n))]
-        elif os.path.isfile(p):
-            out.append(p)
-    if some and not out:
-        raise FileNotFoundError(f"no such file or an empty folder: {path}")
-    return out
-
-
-@dataclass
-class Range(InputPartition):
-    path: str
-    begin: int
-    end: int | None  # None: to the end of the file
-
-
-def _lines(part: Range) -> Iterator[bytes]:
-    """Lines from the first record that starts in the range to the end of the last one that does."""
-    opened = gzip.open(part.path, "rb") if part.path.endswith(".gz") else open(part.path, "rb")
-    with opened as f, io.BufferedReader(f, 1 << 20) as lines:
-        at = part.begin
-        if at:
-            lines.seek(at - 1)
-            at += len(lines.readline()) - 1  # the line that crosses the border, or only its end
-        inside = False
-        for line in lines:
-            if line[:1] == b">":
-                if part.end is not None and at >= part.end:
-                    return
-                inside = True
-            if inside:
-                yield line
-            at += len(line)
-
-
-def records(lines: Iterator[bytes], chunk: int = 0, overlap: int = 0) -> Iterator[tuple[str, str, int]]:
-    """(title, letters, offset) of each record; letters in chunks that overlap if chunk is set. A record without letters gives ''."""
-    title, held, size, offset = None, [], 0, 0
-    for line in lines:
-        if line[:1] == b">":
-            if title is not None:
-                yield title, b"".join(held).decode("utf-8", "replace"), offset
-            title, held, size, offset = line[1:].rstrip().decode("utf-8", "replace"), [], 0, 0
-            continue
-        held.append(line.rstrip().replace(b" ", b"").replace(b"\r", b""))
-        size += len(held[-1])
-        while chunk and size > chunk:
-            whole = b"".join(held)
-            yield title, whole[:chunk].decode("utf-8", "replace"), offset
-            held, offset = [whole[chunk - overlap :]], offset + chunk - overlap
-            size = len(held[0])
-    if title is not None:
-        yield title, b"".join(held).decode("utf-8", "replace"), offset
-
-
-class FastaSource(DataSource):
-    """Options: splitBytes (64 MiB), chunkLetters (0: whole records), overlap (letters shared by chunks, k - 1 for k-mers)."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "fasta"
-
-    def schema(self) -> str:
-        return SCHEMA
-
-    def reader(self, schema) -> DataSourceReader:
-        return FastaReader(self.options)
-
-    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return PartsWriter(self.options, overwrite, [f.name for f in schema.fields])
-
-
-class FastaReader(DataSourceReader):
-    def __init__(self, options) -> None:
-        self.path = options["path"]
-        self.split = int(options.get("splitBytes", 64 << 20))
-        self.chunk = int(options.get("chunkLetters", 0))
-        self.overlap = int(options.get("overlap", 0))
-        if self.chunk and self.overlap >= self.chunk:
-            raise ValueError("overlap must be less than chunkLetters")
-
-    def partitions(self) -> list[Range]:
-        out = []
-        for path in files_of(self.path):
-            with gzip.open(path, "rb") if path.endswith(".gz") else open(path, "rb") as f:
-                if not any(line[:1] == b">" for line in f):
-                    raise ValueError(f"premature end of file or empty file: {path}")
-            size = os.path.getsize(path)
-            out += [Range(path, 0, None)] if path.endswith(".gz") else [Range(path, b, min(b + self.split, size)) for b in range(0, size, self.split)]
-        return out
-
-    def read(self, partition: Range) -> Iterator[tuple]:
-        for title, seq, offset in records(_lines(partition), self.chunk, self.overlap):
-            yield title, title.split(" ", 1)[0], seq, offset
-
-
-@dataclass
-class Part(WriterCommitMessage):
-    temporary: str
-    final: str
-    rows: int
-
-
-class PartsWriter(DataSourceWriter):
-    """Rows (header, seq) as FASTA, nulls as empty, or with option layout=tsv all columns as lines. One file per task, named in the order of the tasks,
-    so that the parts of a sorted input can be concatenated. A file gets its name when the job commits: attempts never mix."""
-
-    def __init__(self, options, overwrite: bool, names: list[str]) -> None:
-        self.path = local(options["path"])
-        self.tsv, self.gz = options.get("layout", "fasta") == "tsv", options.get("compression", "none") == "gzip"
-        self.names, self.overwrite = names, overwrite
-        if not overwrite and os.path.isdir(self.path) and os.listdir(self.path):
-            raise FileExistsError(f"not empty: {self.path}")
-
-    def write(self, iterator) -> Part:
-        from pyspark import TaskContext
-
-        os.makedirs(self.path, exist_ok=True)
-        suffix = (".tsv" if self.tsv else ".fa") + ".gz" * self.gz
-        final = f"part-{TaskContext.get().partitionId():05d}{suffix}"
-        temporary, n = f".{uuid.uuid4().hex}{suffix}", 0
-        with (gzip.open if self.gz else open)(os.path.join(self.path, temporary), "wt", encoding="utf-8", newline="") as f:
-            for row in iterator:
-                if self.tsv:
-                    f.write("\t".join("" if x is None else str(x) for x in row) + "\n")
-                else:
-                    f.write(f">{row['header'] or ''}\n{row['seq'] or ''}\n")
-                n += 1
-        return Part(temporary, final, n)
-
-    def commit(self, messages) -> None:
-        os.makedirs(self.path, exist_ok=True)
-        if self.overwrite:
-            for old in os.listdir(self.path):
-                if old.startswith("part-"):
-                    os.remove(os.path.join(self.path, old))
-        for m in messages:
-            if m is None:
-                continue
-            if m.rows:
-                os.replace(os.path.join(self.path, m.temporary), os.path.join(self.path, m.final))
-            else:  # an empty part isn't a FASTA file
-                os.remove(os.path.join(self.path, m.temporary))
-        open(os.path.join(self.path, "_SUCCESS"), "w").close()
-
-    def abort(self, messages) -> None:
-        for m in messages:
-            if m is not None and os.path.exists(os.path.join(self.path, m.temporary)):
-                os.remove(os.path.join(self.path, m.temporary))
-
-
-class VectorSink(DataSource):
-    """`vectors`: rows (ref, strand, pos, count), sorted within tasks, each (ref, strand) in one task: a gzip file for each,
-    named `ref___strand.gz`; the first line is `# k=K`, then one count per line from position 0. '/' in a ref is written as %2F."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "vectors"
-
-    def schema(self) -> str:
-        return "ref string, strand string, pos bigint, count bigint"
-
-    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return VectorWriter(self.options, overwrite)
-
-
-class VectorWriter(DataSourceWriter):
-    def __init__(self, options, overwrite: bool) -> None:
-        self.path, self.k = local(options["path"]), int(options["k"])
-        if not overwrite and os.path.isdir(self.path) and os.listdir(self.path):
-            raise FileExistsError(f"not empty: {self.path}")
-
-    def write(self, iterator) -> WriterCommitMessage:
-        os.makedirs(self.path, exist_ok=True)
-        mine, key, f = [], None, None
-        for ref, strand, pos, count in iterator:
-            if (ref, strand) != key:
-                if f:
-                    f.close()
-                key, temporary = (ref, strand), f".{uuid.uuid4().hex}.gz"
-                mine.append((temporary, f"{ref.replace('%', '%25').replace('/', '%2F')}___{strand}.gz"))
-                f, due = gzip.open(os.path.join(self.path, temporary), "wt"), 0
-                f.write(f"# k={self.k}\n")
-            f.write("0\n" * (pos - due) + f"{count}\n")
-            due = pos + 1
-        if f:
-            f.close()
-        return Vectors(mine)
-
-    def commit(self, messages) -> None:
-        os.makedirs(self.path, exist_ok=True)
-        for a, b in (x for m in messages if m is not None for x in m.files):
-            os.replace(os.path.join(self.path, a), os.path.join(self.path, b))
-        open(os.path.join(self.path, "_SUCCESS"), "w").close()
-
-    def abort(self, messages) -> None:
-        for a, _ in (x for m in messages if m is not None for x in m.files):
-            if os.path.exists(os.path.join(self.path, a)):
-                os.remove(os.path.join(self.path, a))
-
-
-@dataclass
-class Vectors(WriterCommitMessage):
-    files: list
-
-
-def register(spark: SparkSession) -> None:
-    spark.dataSource.register(FastaSource)
-    spark.dataSource.register(VectorSink)
-
-
-def read_fasta(spark: SparkSession, path: str, **options) -> DataFrame:
-    register(spark)
-    return spark.read.format("fasta").options(**options).load(path)
-
-
-def read_fasta_text(spark: SparkSession, path: str) -> DataFrame:
-    """The same columns through the built-in text reader, for any file system that Hadoop knows. Only for files that start with '>':
-    text before the first record can't be told from a record here."""
-    raw = spark.read.text(path, lineSep="\n>").where(F.length(F.regexp_replace("value", r"[\s>]", "")) > 0)
-    body = F.when(raw.value.startswith(">"), F.substring("value", 2, 2**31 - 1)).otherwise(raw.value)
-    title = F.rtrim(F.regexp_replace(F.substring_index(body, "\n", 1), "\r", ""))
-    seq = F.when(F.instr(body, "\n") > 0, F.regexp_replace(F.substr(body, F.instr(body, "\n") + 1), r"[ \r\n\t]", "")).otherwise("")
-    return raw.select(title.alias("title"), F.substring_index(title, " ", 1).alias("ref"), seq.alias("seq"), F.lit(0).cast("bigint").alias("offset"))
-
-
-def write_parts(df: DataFrame, path: str, layout: str = "fasta", compression: str = "none", mode: str = "append") -> None:
-    """Write in the order of df's partitions: (header, seq) rows as FASTA, or any columns as lines."""
-    register(df.sparkSession)
-    df.write.format("fasta").option("layout", layout).option("compression", compression).mode(mode).save(path)
-
-
-def write_vectors(vector: DataFrame, path: str, k: int, mode: str = "append") -> None:
-    """Sparse or dense vectors; zeros between the positions are filled in while writing. A cell that is filled twice is an error."""
-    register(vector.sparkSession)
-    one = vector.groupBy("ref", "strand", "pos").agg(F.count(F.lit(1)).alias("n"), F.max("count").alias("count"))
-    twice = F.raise_error(F.concat(F.lit("cell filled twice: "), F.col("ref"), F.lit(" "), F.col("pos").cast("string"))).cast("bigint")
-    rows = one.select("ref", "strand", "pos", F.when(F.col("n") > 1, twice).otherwise(F.col("count")).alias("count"))
-    laid = rows.repartition("ref", "strand").sortWithinPartitions("ref", "strand", "pos")
-    laid.write.format("vectors").option("k", k).mode(mode).save(path)
+
+from strandmill.sources.shared import file_system, materialise
+
+PIECES = "file string, block bigint, record bigint, title string, seq string, offset bigint, open boolean"
+ZEROS = 65_536  # lines of a gap that are written as one value
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file, folder or pattern names anything; names that start with '.' or '_' and empty files in folders don't count."""
+    fs, p = file_system(spark, path)
+    found = list(fs.globStatus(p) or [])
+    inside = [s for f in found for s in (fs.listStatus(f.getPath()) if f.isDirectory() else [f])]
+    return any(s.getLen() > 0 and s.getPath().getName()[0] not in "._" for s in inside)
 
 
-def concatenate(folder: str, out: str) -> None:
+def _letters(lines: pa.Array) -> tuple[memoryview, list[int]]:
+    """The lines without spaces, CRs and white space at their ends, as one buffer, and where in it each line begins."""
+    clean = pc.replace_substring(pc.replace_substring(pc.ascii_rtrim_whitespace(lines), " ", ""), "\r", "")
+    offsets = clean.cast(pa.large_binary())
+    ends = memoryview(offsets.buffers()[1]).cast("q")[offsets.offset : offsets.offset + len(offsets) + 1].tolist()
+    return memoryview(offsets.buffers()[2] or b""), ends
+
+
+def _pieces(chunk: int, overlap: int):
+    """Lines (value, file, block) -> pieces of records: a record has number 0, 1 ... in its split, letters before the first title have -1;
+    `open` marks what may go on in the next split or come from the one before. Each split gives at least its piece -1, maybe without letters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, record, title, held, size, offset = None, -1, None, [], 0, 0
+        out: list[tuple] = []
+        made = 0
+
+        def put(last: bool) -> None:
+            nonlocal held, size, offset, made
+            whole = b"".join(held)
+            while chunk and len(whole) > chunk:
+                out.append((*place, record, title, whole[:chunk].decode("utf-8", "replace"), offset, True))
+                made += chunk
+                whole, offset = whole[chunk - overlap :], offset + chunk - overlap
+            if last:
+                out.append((*place, record, title, whole.decode("utf-8", "replace"), offset, True))
+                made += len(whole)
+                held, size, offset = [], 0, 0
+            else:
+                held, size = [whole], len(whole)
+
+        def flush() -> pa.RecordBatch:
+            nonlocal out, made
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_()]
+            b = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=[x.strip().split(" ")[0] for x in PIECES.split(",")])
+            out, made = [], 0
+            return b
+
+        def settle() -> None:
+            """The record is at its end, and not the last of its split."""
+            first = len(out)
+            put(True)
+            for i in range(first, len(out)):
+                out[i] = (*out[i][:6], record < 0)
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            files, blocks = b.column(1).to_pylist(), b.column(2).to_pylist()
+            titles = pc.starts_with(b.column(0), ">").to_pylist()
+            text, at = _letters(b.column(0))
+            i = 0
+            while i < b.num_rows:
+                if (files[i], blocks[i]) != place:
+                    if place is not None:
+                        put(True)
+                    place, record, title = (files[i], blocks[i]), -1, None
+                if titles[i]:
+                    settle()
+                    raw = b.column(0).slice(i, 1).cast(pa.binary())[0].as_py()
+                    title, record = raw[1:].rstrip().decode("utf-8", "replace"), record + 1
+                    i += 1
+                    continue
+                j = i
+                while j < b.num_rows and not titles[j] and files[j] == place[0] and blocks[j] == place[1]:
+                    j += 1
+                held.append(bytes(text[at[i] : at[j]]))
+                size += at[j] - at[i]
+                if chunk and size > chunk:
+                    put(False)
+                i = j
+                if made > 1 << 24:
+                    yield flush()
+        if place is not None:
+            put(True)
+        if out:
+            yield flush()
+
+    return run
+
+
+def _whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Text between line starts with '>' (value, file, block, size of the file) -> (title, seq). The first one of a file is a record only if it has the '>' still."""
+    place = None
+    for b in batches:
+        for low in range(0, b.num_rows, 500):
+            part = b.slice(low, 500)
+            titles, seqs = [], []
+            for value, file, block, size in zip(*(part.column(i).cast(pa.binary()).to_pylist() if i == 0 else part.column(i).to_pylist() for i in range(4))):
+                first, place = block == 0 and (file, block) != place, (file, block)
+                if first:
+                    if value[:1] != b">":
+                        if len(value) >= size - 1:
+                            raise ValueError(f"no title line in the FASTA file {file}")
+                        continue
+                    value = value[1:]
+                title, _, body = value.partition(b"\n")
+                if any(x in body for x in (b"\t", b"\v", b"\f")):
+                    body = re.sub(rb"\s+(?=\n|\Z)", b"", body)
+                titles.append(title.rstrip().decode("utf-8", "replace"))
+                seqs.append(body.translate(None, b" \r\n").decode("utf-8", "replace"))
+            yield pa.RecordBatch.from_arrays([pa.array(titles, pa.string()), pa.array(seqs, pa.string())], names=["title", "seq"])
+
+
+def read_fasta(spark: SparkSession, path: str, chunk_letters: int = 0, overlap: int = 0) -> DataFrame:
+    """(title, ref, seq, offset) of each record, or of each chunk of at most chunk_letters, whose neighbours share `overlap` letters (k - 1 for k-mers); where
+    splits of a file meet, chunks are shorter. Text before the first title of a file is left out; a file with text but no title is an error, and so is a path with
+    nothing to read. Empty files of a folder are passed over."""
+    if chunk_letters and overlap >= chunk_letters:
+        raise ValueError("overlap must be less than chunk_letters")
+    if not exists(spark, path):
+        raise FileNotFoundError(f"nothing to read at {path}")
+    file, block = F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")
+    if not chunk_letters:
+        text = spark.read.text(path, lineSep="\n>").select("value", file, block, F.col("_metadata.file_size").alias("size"))
+        out = text.mapInArrow(_whole, "title string, seq string").withColumn("offset", F.lit(0).cast("bigint"))
+    else:
+        lines = spark.read.text(path, lineSep="\n").select("value", file, block)
+        pieces = materialise(lines.mapInArrow(_pieces(chunk_letters, overlap), PIECES), "pieces")
+        parts, bridges = _owned(pieces.where("open"), overlap)
+        out = pieces.where("not open").select("title", "seq", "offset").unionByName(parts).unionByName(bridges)
+    return out.select("title", F.substring_index("title", " ", 1).alias("ref"), "seq", "offset")
+
+
+def _owned(edges: DataFrame, overlap: int) -> tuple[DataFrame, DataFrame]:
+    """The open pieces as chunks (title, seq, offset in the record), and the bridges between those of a record where splits meet: up to `overlap` letters of the
+    first and as many after it, so that the windows that begin in the one and end in another are in a bridge once. There are two parts or so a split."""
+    left = lambda c: F.substr(c, F.lit(1), F.lit(overlap))
+    right = lambda c: F.when(F.length(c) > overlap, F.substr(c, F.length(c) - overlap + 1)).otherwise(c)
+    seq, here = F.col("seq"), ["file", "block", "record"]
+    part = edges.groupBy(*here).agg(F.max("title").alias("title"), F.max(F.col("offset") + F.length(seq)).alias("n"), F.min_by(left(seq), "offset").alias("head"), F.max_by(right(seq), "offset").alias("tail"))
+    begun = F.col("title").isNotNull()
+    upto = Window.partitionBy("file").orderBy("block", "record").rowsBetween(Window.unboundedPreceding, 0)
+    owner = F.last(F.when(begun, F.struct("block", "record")), ignorenulls=True).over(upto)
+    part = part.withColumn("owner", owner).withColumn("titled", F.max(begun).over(Window.partitionBy("file")))
+    nothing = F.raise_error(F.concat(F.lit("no title line in the FASTA file "), F.col("file"))).cast("boolean")
+    part = part.where(F.when(~F.col("titled"), nothing).otherwise(True)).where("owner is not null")
+    record = Window.partitionBy("file", "owner").orderBy("block", "record")
+    before = F.sum("n").over(record.rowsBetween(Window.unboundedPreceding, -1))
+    after = F.array_join(F.collect_list("head").over(record.rowsBetween(1, Window.unboundedFollowing)), "")
+    part = part.select(*here, F.first("title").over(record).alias("title"), F.coalesce(before, F.lit(0)).alias("base"), "n", "tail", left(after).alias("next"))
+    chunks = edges.drop("title").join(part.select(*here, "title", "base"), here).select("title", "seq", (F.col("base") + F.col("offset")).alias("offset"))
+    bridges = part.where("next <> ''").select("title", F.concat("tail", "next").alias("seq"), (F.col("base") + F.col("n") - F.length("tail")).alias("offset"))
+    return chunks, bridges
+
+
+def _fresh(spark: SparkSession, path: str, mode: str) -> None:
+    if mode != "overwrite" and exists(spark, path):
+        raise FileExistsError(f"not empty: {path}")
+
+
+def write_parts(df: DataFrame, path: str, layout: str = "fasta", compression: str = "none", mode: str = "append", batch_size: int = 0) -> None:
+    """Write in the order of df's partitions, files being named in that order: (header, seq) rows as FASTA, nulls as empty, or (layout tsv) any columns as lines.
+    batch_size: records of a file at most. A folder that holds data is an error, unless mode is overwrite."""
+    _fresh(df.sparkSession, path, mode)
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    value = F.concat(F.lit(">"), text("header"), F.lit("\n"), text("seq")) if layout == "fasta" else F.concat_ws("\t", *map(text, df.columns))
+    df.select(value.alias("value")).write.mode(mode).option("compression", compression).option("maxRecordsPerFile", batch_size).text(path)
+
+
+def append_parts(df: DataFrame, path: str, compression: str = "none", batch_size: int = 0) -> None:
+    """Add (header, seq) rows to a folder of FASTA batches as further files."""
+    df.select(F.concat(F.lit(">"), "header", F.lit("\n"), "seq").alias("value")).write.mode("append").option("compression", compression).option("maxRecordsPerFile", batch_size).text(path)
+
+
+def write_vectors(vector: DataFrame, path: str, k: int, mode: str = "append", replace: bool = False) -> None:
+    """Sparse or dense vectors, a gzip file for each (ref, strand), named `ref___strand.gz`; the first line is `# k=K`, then comes one count per line from position 0.
+    Zeros between positions are filled in while writing, in blocks of bounded size. '/' in a ref is written as %2F. Cells that are filled twice are as for reduce.cells."""
+    from strandmill.operators.reduce import cells
+
+    spark = vector.sparkSession
+    _fresh(spark, path, mode)
+    file = F.concat(F.replace(F.replace("ref", F.lit("%"), F.lit("%25")), F.lit("/"), F.lit("%2F")), F.lit("___"), "strand", F.lit(".gz"))
+    # The file of a vector is one task's, as its lines are in order.
+    w = Window.partitionBy("file").orderBy("pos")
+    rows = cells(vector, replace).select(file.alias("file"), "pos", "count").where("file is not null")
+    rows = rows.select("file", "count", "pos", F.lag("pos").over(w).alias("before"))
+    rows = rows.withColumn("gap", F.col("pos") - F.coalesce("before", F.lit(-1)) - 1)
+    rows = rows.select("file", "count", "before", "gap", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"gap div {ZEROS}"))).alias("b"))
+    last = F.col("b") == F.expr(f"gap div {ZEROS}")
+    zeros = F.expr(f"repeat('0\\n', cast(CASE WHEN b = gap div {ZEROS} THEN gap % {ZEROS} ELSE {ZEROS} - 1 END AS int))")
+    head = F.when(F.col("before").isNull() & (F.col("b") == 0), f"# k={k}\n").otherwise("")
+    lines = rows.select("file", F.concat(head, zeros, F.when(last, F.col("count").cast("string")).otherwise("0")).alias("value"))
+    draft = f"{path}/_{uuid.uuid4().hex}"
+    lines.write.partitionBy("file").option("compression", "gzip").text(draft)
+    fs, root = file_system(spark, path)
+    jvm = spark._jvm
+    unescape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
+    Path = jvm.org.apache.hadoop.fs.Path
+    for folder in fs.listStatus(Path(draft)):
+        name = folder.getPath().getName()
+        if name.startswith("file="):
+            for part in fs.listStatus(folder.getPath()):  # one
+                target = Path(root, Path(None, None, unescape(name.removeprefix("file="))))
+                if mode == "overwrite":
+                    fs.delete(target, False)
+                fs.rename(part.getPath(), target)
+    fs.delete(Path(draft), True)
+    fs.create(Path(root, "_SUCCESS"), True).close()
+
+
+def concatenate(spark: SparkSession, folder: str, out: str) -> None:
     """Join the parts of a folder, in order, into one file (gzip parts may be joined as they are)."""
-    with open(out, "wb") as to:
-        for path in files_of(folder, some=False):
-            with open(path, "rb") as f:
-                while block := f.read(1 << 20):
-                    to.write(block)
+    jvm, conf = spark._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    fs, p = file_system(spark, folder)
+    to_fs, to = file_system(spark, out)
+    stream = to_fs.create(to, True)
+    try:
+        for path in sorted((s.getPath() for s in fs.listStatus(p) if s.getPath().getName()[0] not in "._"), key=lambda x: x.getName()):
+            part = fs.open(path)
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(part, stream, conf, False)
+            part.close()
+    finally:
+        stream.close()

@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import functools
+import operator
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _made: dict[str, SparkSession] = {}
 
@@ -62,6 +66,18 @@ def _sweep() -> None:
             pass
 
 
+def small(df: DataFrame) -> bool:
+    """Whether all rows of a written table, as they are in memory, are below the size up to which the session broadcasts."""
+    room = [F.octet_length(f.name) + 16 if f.dataType.typeName() in ("string", "binary") else F.lit(16) for f in df.schema]
+    size = df.agg(F.sum(functools.reduce(operator.add, (F.coalesce(x, F.lit(16)) for x in room)).cast("bigint")).alias("size")).first().size or 0
+    return size <= _bytes(df.sparkSession.conf.get("spark.sql.autoBroadcastJoinThreshold"))
+
+
+def _bytes(text: str) -> int:
+    found = re.fullmatch(r"(-?\d+)\s*([kmgt]?)b?", text.strip().lower())
+    return int(found[1]) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[found[2]]
+
+
 def width(spark: SparkSession) -> int:
     """Partitions of a shuffle, as the session sets it."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

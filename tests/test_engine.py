@@ -81,6 +81,38 @@ def test_cross_record_golden(spark, rows):
     assert rows(k.count()) == [(4,)]
 
 
+def test_minus_strand(spark, rows):
+    r = engine(spark, [("a", "ACGTA")])
+    assert rows(r.kmers(4, strand="-").df) == [("a", 0, "-", "ACGT"), ("a", 1, "-", "CGTA")]
+    assert rows(r.kmers(4, True, strand="-").df) == [("a", 0, "+", "ACGT"), ("a", 0, "-", "ACGT"), ("a", 1, "+", "TACG"), ("a", 1, "-", "CGTA")]
+    with pytest.raises(ValueError):
+        r.kmers(4, strand="minus")
+
+
+def test_unique_without_sort(spark, rows):
+    k = engine(spark, [("a", "ACGTA"), ("b", "CGTAC"), (None, "TTTT")]).kmers(4)
+    assert rows(k.uniq()) == rows(reduce.unique(k.df)) == sorted([("a", 0, "+", "ACGT"), ("b", 1, "+", "GTAC"), (None, 0, "+", "TTTT")], key=repr)
+    plan = k.uniq()._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "BroadcastHashJoin" in plan
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "20b")
+    try:
+        assert "SortMergeJoin" in k.uniq()._jdf.queryExecution().executedPlan().toString() and len(rows(k.uniq())) == 3
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_group_chunks(spark, rows):
+    k = engine(spark, [(f"r{i}", "ACGTACGT" if i % 3 else "AAAAAAAA") for i in range(20)]).kmers(4, True)
+    whole = {r.kmer: r.headers for r in k.groups().collect()}
+    for size in (1, 7, 1000):
+        got = {}
+        for r in k.group_chunks(size).orderBy("kmer", "chunk").collect():
+            assert r.n == len(r.headers) <= size and r.chunk == len(got.setdefault(r.kmer, []))
+            got[r.kmer].append(r.headers)
+        assert {w: sum(c, []) for w, c in got.items()} == whole
+    assert rows(k.feed(k, "replace").group_chunks().limit(0)) == []
+
+
 def test_palindrome_is_counted_twice(spark, rows):
     k = engine(spark, [("a", "GATC")]).kmers(4, reverse=True)
     assert rows(k.seq_count()) == [("GATC", 2)] and rows(k.uniq()) == []
@@ -118,8 +150,14 @@ def test_characters_beyond_ascii_keep_offsets(spark, rows):
 def test_duplicate_cells_are_an_error(spark, rows):
     k = engine(spark, [("a", "ACGT"), ("a", "ACGA")]).kmers(4)
     assert rows(reduce.duplicates(k.vec_count())) == [("a", "+", 0, 2)]
-    with pytest.raises(Exception, match="cell filled twice"):
-        k.vec_count(dense=True).collect()
+    for use in (lambda d: d.collect(), lambda d: d.count(), lambda d: d.select("ref", "pos").count(), lambda d: d.select("ref").distinct().collect()):
+        with pytest.raises(Exception, match="cell filled twice"):
+            use(k.vec_count(dense=True))
+        with pytest.raises(Exception, match="cell filled twice"):
+            use(reduce.cells(k.vec_count()))
+    assert rows(k.vec_count(dense=True, replace=True)) == [("a", "+", 0, 1)]
+    both = k.vec_count().unionByName(k.vec_count().withColumn("count", F.lit(5).cast("bigint")))
+    assert rows(reduce.dense(both, replace=True)) == [("a", "+", 0, 5)]
 
 
 def test_extra_columns_dont_matter(spark, rows):

@@ -1,5 +1,7 @@
 import gzip
 import os
+import random
+from contextlib import contextmanager
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,6 +15,25 @@ TEXT = "; preamble\nnot a record\n>r1 desc here \nACGT\nAC GT\r\n>r2\n>r3\tx y\r
 WANT = [("r1 desc here", "r1", "ACGTACGT", 0), ("r2", "r2", "", 0), ("r3\tx y", "r3\tx", "ggNA", 0), ("r4", "r4", "", 0)]
 
 
+@contextmanager
+def splits_of(spark, size):
+    """Input files in splits of so many bytes, but not what is written in between."""
+    name, written = "spark.sql.files.maxPartitionBytes", fasta.materialise
+
+    def whole(df, *args):
+        out = written(df, *args)
+        spark.conf.unset(name)
+        return out
+
+    spark.conf.set(name, size)
+    fasta.materialise = whole
+    try:
+        yield
+    finally:
+        spark.conf.unset(name)
+        fasta.materialise = written
+
+
 def put(path, text):
     path.parent.mkdir(parents=True, exist_ok=True)
     with (gzip.open if path.suffix == ".gz" else open)(path, "wb") as f:
@@ -23,7 +44,13 @@ def put(path, text):
 @pytest.mark.parametrize("name", ["a.fa", "a.fa.gz"])
 @pytest.mark.parametrize("split", [1, 3, 17, 1 << 20])
 def test_reader(spark, rows, tmp_path, name, split):
-    assert rows(fasta.read_fasta(spark, put(tmp_path / name, TEXT), splitBytes=split)) == sorted(WANT, key=repr)
+    path = put(tmp_path / name, TEXT)
+    with splits_of(spark, split):
+        assert rows(fasta.read_fasta(spark, path)) == rows(fasta.read_fasta(spark, f"file:{path}")) == sorted(WANT, key=repr)
+        chunks = fasta.read_fasta(spark, path, 100, 3).where("seq <> ''").collect()
+    whole = {t: s for t, _, s, _ in WANT}
+    assert all(whole[r.title][r.offset : r.offset + len(r.seq)] == r.seq for r in chunks)
+    assert {(r.title, r.offset + i) for r in chunks for i in range(len(r.seq))} == {(t, i) for t, s in whole.items() for i in range(len(s))}
 
 
 def test_reader_of_folders_and_errors(spark, rows, tmp_path):
@@ -33,10 +60,16 @@ def test_reader_of_folders_and_errors(spark, rows, tmp_path):
     want = [("a", "a", "AC", 0), ("b", "b", "GT", 0)]
     assert rows(fasta.read_fasta(spark, str(tmp_path / "d"))) == rows(fasta.read_fasta(spark, str(tmp_path / "d/*.fa*"))) == want
     put(tmp_path / "none.fa", "no record\n")
-    with pytest.raises(Exception, match="premature end"):
-        fasta.read_fasta(spark, str(tmp_path / "none.fa")).collect()
-    with pytest.raises(Exception, match="no such file"):
-        fasta.read_fasta(spark, str(tmp_path / "missing")).collect()
+    put(tmp_path / "some/a.fa", "")
+    put(tmp_path / "some/b.fa", ">b\nGT")
+    assert rows(fasta.read_fasta(spark, str(tmp_path / "some"))) == want[1:]
+    for more in ((), (9, 3)):
+        for size in (3, 1 << 20):
+            with splits_of(spark, size), pytest.raises(Exception, match="no title line"):
+                fasta.read_fasta(spark, str(tmp_path / "none.fa"), *more).count()
+        for nothing in (tmp_path / "missing", tmp_path / "some/a.fa", tmp_path / "*.none"):
+            with pytest.raises(FileNotFoundError):
+                fasta.read_fasta(spark, str(nothing), *more)
 
 
 def test_reader_in_chunks(spark, rows, tmp_path):
@@ -48,26 +81,45 @@ def test_reader_in_chunks(spark, rows, tmp_path):
     assert rows(parts.kmers(5, reverse=True).df) == rows(whole.kmers(5, reverse=True).df)
 
 
-def test_text_reader(spark, rows, tmp_path):
-    path = put(tmp_path / "t.fa", TEXT[TEXT.index(">") :])
-    assert rows(fasta.read_fasta_text(spark, path)) == sorted(WANT, key=repr)
+@pytest.mark.parametrize("split,width,chunk", [(11, 3, 9), (37, 7, 9), (64, 60, 200), (500, 1, 20)])
+def test_chunks_over_splits(spark, rows, tmp_path, split, width, chunk):
+    """Each window comes out once, however records and lines lie across the splits of a file."""
+    rng = random.Random(split)
+    text = "preamble\n"
+    for i in range(6):
+        seq = "".join(rng.choice("ACGTacgtN") for _ in range(rng.choice([0, 2, 5, 90, 400])))
+        text += f">r{i} > x\n" + "".join(seq[j : j + width] + rng.choice(["\n", "\r\n", " \n", "\n\n"]) for j in range(0, len(seq), width))
+    path = put(tmp_path / "c.fa", text)
+    e = KmerEngine(spark)
+    want = rows(e.from_fasta(path).kmers(5).df)
+    with splits_of(spark, split):
+        assert rows(e.from_fasta(path).kmers(5).df) == want
+        assert rows(e.from_fasta(path, chunk, 4).kmers(5).df) == want
+    assert len(want) > 300
+
+
+def test_titles_that_start_alike(spark, rows, tmp_path):
+    path = put(tmp_path / "t.fa", ">>a\nAC\tG\t\n>>b\n\tGT\v\n>\nA\n")
+    with splits_of(spark, 4):
+        got = rows(fasta.read_fasta(spark, path).select("title", "seq"))
+    assert got == sorted([(">a", "AC\tG"), (">b", "\tGT"), ("", "A")], key=repr)
 
 
 def test_writers(spark, rows, tmp_path):
     path = put(tmp_path / "w.fa", ">a\nACGTACGTTT\n>b\nTTTACG\n")
     k = KmerEngine(spark).from_fasta(path).kmers(4)
     k.write_unique(str(tmp_path / "u"))
-    fasta.concatenate(str(tmp_path / "u"), str(tmp_path / "u.fa"))
+    fasta.concatenate(spark, str(tmp_path / "u"), str(tmp_path / "u.fa"))
     got = rows(fasta.read_fasta(spark, str(tmp_path / "u.fa")).select("title", "seq"))
     assert got == rows(k.uniq().select(F.concat("ref", F.lit(":"), "start", F.lit("-"), F.col("start") + 4, F.lit(":+")), "kmer"))
     lines = (tmp_path / "u.fa").read_text().split("\n")[1::2]
     assert lines == sorted(lines)
     k.write_counts(str(tmp_path / "n"), compression="gzip")
-    fasta.concatenate(str(tmp_path / "n"), str(tmp_path / "n.gz"))
+    fasta.concatenate(spark, str(tmp_path / "n"), str(tmp_path / "n.gz"))
     text = gzip.open(tmp_path / "n.gz", "rt").read()
     assert text == "".join(f"{w}\t{n}\n" for w, n in rows(k.seq_count()))
     fasta.write_parts(k.seq_count().orderBy("kmer"), str(tmp_path / "tsv"), "tsv")
-    fasta.concatenate(str(tmp_path / "tsv"), str(tmp_path / "n.tsv"))
+    fasta.concatenate(spark, str(tmp_path / "tsv"), str(tmp_path / "n.tsv"))
     assert (tmp_path / "n.tsv").read_text() == text
     with pytest.raises(Exception, match="not empty"):
         k.write_unique(str(tmp_path / "u"))
@@ -82,6 +134,17 @@ def test_vectors(spark, tmp_path):
     two = KmerEngine(spark).from_table(spark.createDataFrame([("a", "ACGT"), ("a", "ACGA")], "ref string, seq string")).kmers(4)
     with pytest.raises(Exception, match="cell filled twice"):
         two.write_vectors(str(tmp_path / "w"))
+    two.write_vectors(f"file:{tmp_path}/x", replace=True)
+    assert gzip.open(tmp_path / "x/a___+.gz", "rt").read() == "# k=4\n1\n"
+    far = spark.createDataFrame([("r", "-", p, 7) for p in (0, 1, 65_537, 65_538, 65_539 + 131_072, 400_000)], "ref string, strand string, pos bigint, count bigint")
+    fasta.write_vectors(far, str(tmp_path / "y"), 9)
+    lines = gzip.open(tmp_path / "y/r___-.gz", "rt").read().split("\n")
+    assert len(lines) == 400_000 + 3 and lines[0] == "# k=9" and [i for i, x in enumerate(lines[1:]) if x == "7"] == [r.pos for r in far.orderBy("pos").collect()]
+    assert set(lines[1:-1]) == {"0", "7"} and lines[-1] == ""
+    with pytest.raises(FileExistsError):
+        fasta.write_vectors(far, str(tmp_path / "y"), 9)
+    fasta.write_vectors(far.where("pos < 2"), str(tmp_path / "y"), 9, "overwrite")
+    assert gzip.open(tmp_path / "y/r___-.gz", "rt").read() == "# k=9\n7\n7\n"
 
 
 def test_store(spark, rows, tmp_path):
@@ -103,6 +166,11 @@ def test_store(spark, rows, tmp_path):
         e.from_store(str(tmp_path / "none"))
     k.write_batches(str(tmp_path / "b"), "gzip")
     assert rows(store.read_batches(spark, str(tmp_path / "b"), 4)) == rows(k.df)
+    k.write_batches(str(tmp_path / "c"), batch_size=2)
+    sizes = [open(tmp_path / "c" / n).read().count(">") for n in os.listdir(tmp_path / "c") if n[0] not in "._"]
+    assert max(sizes) == 2 and sum(sizes) == k.df.count() and rows(store.read_batches(spark, str(tmp_path / "c"), 4)) == rows(k.df)
+    k.append_batches(str(tmp_path / "c"), "gzip")
+    assert store.read_batches(spark, str(tmp_path / "c"), 4).count() == 2 * k.df.count()
     with pytest.raises(Exception, match="not 5 letters"):
         store.read_batches(spark, str(tmp_path / "b"), 5).collect()
     g = k.groups().selectExpr("kmer || '\t' || array_join(headers, ' ') AS value")
@@ -125,9 +193,11 @@ def test_cli(spark, tmp_path):
     run("batch", src, tmp_path / "s", 4, "--format", "store", "-r")
     run("count", "-", tmp_path / "n4.tsv", 4, "-r", "-B", tmp_path / "s")
     assert "GTAC\t2" in (tmp_path / "n4.tsv").read_text()
-    run("count", src, tmp_path / "v", 4, "-c", "VEC_COUNT_MASKED")
+    run("count", src, tmp_path / "v.txt", 4, "-c", "VEC_COUNT_MASKED", "-M", "LOCAL", "-t", 2, "-T", tmp_path)
     assert gzip.open(tmp_path / "v/a___+.gz", "rt").read() == "# k=4\n0\n1\n"
-    for bad in (("batch", src, tmp_path / "b", 4), ("count", src, tmp_path / "x", 1), ("count", tmp_path / "no", tmp_path / "x", 4), ("uniq", src, tmp_path / "x", 4, "-B", tmp_path / "nothing")):
+    run("batch", f"file:{src}", f"file:{tmp_path}/small", 4, "-b", 1, "-m", "REPLACE", "-R")
+    assert {(tmp_path / "small" / n).read_text().count(">") for n in os.listdir(tmp_path / "small") if n[0] not in "._"} == {1}
+    for bad in (("batch", src, tmp_path / "b", 4), ("batch", src, tmp_path / "z", 4, "-b", 0), ("count", src, tmp_path / "v.txt", 4, "-c", "VEC_COUNT"), ("count", src, tmp_path / "x", 1), ("count", tmp_path / "no", tmp_path / "x", 4), ("uniq", src, tmp_path / "x", 4, "-B", tmp_path / "nothing")):
         with pytest.raises(SystemExit):
             run(*bad)
 
