@@ -1,4 +1,4 @@
-"""The engine: records -> k-mers -> reductions, as DataFrames. Extraction and counts are lazy; what needs windows or cells twice writes them first.
+"""The engine: records -> k-mers -> reductions, as DataFrames. Extraction and counts are lazy; what needs refs or cells twice writes these first.
 
     engine = KmerEngine(spark)
     kmers = engine.from_fasta("/data/genomes").kmers(k=21, reverse=True)

@@ -4,7 +4,7 @@ Windows are rows (ref, start, strand, kmer). Nothing depends on how they are par
 A hot k-mer is counted map-side before any shuffle; where counts go back to the occurrences they do so by a merge join,
 whose skewed partitions adaptive execution splits, and not by a window, which would put a hot k-mer into one task.
 The join is named by a hint: the planner takes exploded windows to be as small as the records and would broadcast them.
-Where windows are used twice they are written first, so that they are cut once.
+Where windows are used twice they are cut twice: that reads the records again, while windows take up k times the room of the records, written and read.
 """
 
 from __future__ import annotations
@@ -60,7 +60,6 @@ def group_chunks(kmers: DataFrame, k: int, size: int = GROUP) -> DataFrame:
 
 def vec_count(kmers: DataFrame) -> DataFrame:
     """(ref, strand, pos, count): each occurrence with the size of its group."""
-    kmers = materialise(kmers.select("ref", "start", "strand", "kmer").where("kmer is not null"), "windows")
     n = seq_count(kmers).hint("merge")
     return kmers.join(n, "kmer").select("ref", "strand", F.col("start").alias("pos"), F.col("n").alias("count"))
 
@@ -68,7 +67,7 @@ def vec_count(kmers: DataFrame) -> DataFrame:
 def vec_count_masked(kmers: DataFrame) -> DataFrame:
     """(ref, strand, pos, count): each occurrence with the number of those in its group on other refs, where there are any.
     Occurrences without a ref count nowhere."""
-    kmers = materialise(kmers.select("ref", "start", "strand", "kmer").where("ref is not null and kmer is not null"), "windows")
+    kmers = kmers.where("ref is not null and kmer is not null")  # said once, so that both uses of `own` share a shuffle
     own = kmers.groupBy("kmer", "ref").agg(F.count(F.lit(1)).alias("own"))
     total = own.groupBy("kmer").agg(F.sum("own").alias("total"), F.count(F.lit(1)).alias("refs")).where("refs > 1")
     other = own.join(total.hint("merge"), "kmer").select("kmer", "ref", (F.col("total") - F.col("own")).alias("count"))

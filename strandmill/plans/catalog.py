@@ -1,22 +1,23 @@
-"""One query per operator of the engine, each over the whole of `documents` read as sequences, and its SQL."""
+"""One query per operator of the engine, each over the whole of `documents` read as sequences, or (f_...) over the whole of `fasta_records`, and its SQL."""
 
 from __future__ import annotations
 
 import functools
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from strandmill.engine import KmerEngine, Kmers
 from strandmill.functions import coords, formats
 from strandmill.functions.alphabet import normalise, record_name
 from strandmill.operators import extract, layout, reduce
-from strandmill.plans.tables import records
+from strandmill.plans.tables import fasta as fasta_records
+from strandmill.plans.tables import records, table
 from strandmill.sources import fasta, store
-from strandmill.sources.shared import new_path, width
+from strandmill.sources.shared import materialise, new_path, width
 
-K, CHUNK, BATCH = 12, 64, 10_000
+K, CHUNK, BATCH, GROUP = 12, 64, 10_000, 100
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
@@ -248,6 +249,184 @@ def q_vector_files(spark, d):
     return lines.join(first.hint("merge"), "file").select("file", (F.col("at") - F.col("first")).alias("line_no"), "line")
 
 
+# The same operators on sequences as they are in practice: gaps, mixed case, ambiguity letters, RNA among DNA, empty and null ones, several records of one ref, repeated deliveries.
+
+
+def f_kmers(spark: SparkSession, sf_dir: str, reverse: bool = False, natype: str = "DNA", apart: bool = False) -> Kmers:
+    return KmerEngine(spark).from_table(fasta_records(spark, sf_dir, "RNA" if natype == "RNA" else None, apart)).kmers(K, reverse, natype)
+
+
+@query
+def q_f_records(spark, d):
+    return table(spark, d, "fasta_records").select("record_id", record_name(F.col("title")).alias("ref"), normalise(F.translate("seq", " \r", "")).alias("seq"))
+
+
+@query
+def q_f_kmers_plus(spark, d):
+    return f_kmers(spark, d).with_coords()
+
+
+@query
+def q_f_kmers_both(spark, d):
+    return f_kmers(spark, d, True).with_coords()
+
+
+@query
+def q_f_kmers_minus(spark, d):
+    """The records taken as minus-strand sequences."""
+    return KmerEngine(spark).from_table(fasta_records(spark, d)).kmers(K, True, strand="-").with_coords()
+
+
+@query
+def q_f_kmers_rna(spark, d):
+    """The RNA records."""
+    return f_kmers(spark, d, True, "RNA").with_coords()
+
+
+@query
+def q_f_rejected_windows(spark, d):
+    """Windows with a letter outside the alphabet, by ref and these letters."""
+    out = extract.windows(fasta_records(spark, d), K, partitions=width(spark), rejected=True)
+    return out.groupBy("ref", F.translate("kmer", "ACGT", "").alias("others")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def q_f_uniq(spark, d):
+    return f_kmers(spark, d).uniq()
+
+
+@query
+def q_f_uniq_rc(spark, d):
+    return f_kmers(spark, d, True).uniq()
+
+
+@query
+def q_f_seq_count(spark, d):
+    return f_kmers(spark, d).seq_count()
+
+
+@query
+def q_f_seq_count_rc(spark, d):
+    return f_kmers(spark, d, True).seq_count()
+
+
+@query
+def q_f_vec_count(spark, d):
+    return f_kmers(spark, d, True).vec_count()
+
+
+@query
+def q_f_vec_count_masked(spark, d):
+    return f_kmers(spark, d, True).vec_count_masked()
+
+
+@query
+def q_f_vec_dense(spark, d):
+    """Of each record apart, as records with one ref fill cells twice."""
+    return f_kmers(spark, d, apart=True).vec_count(dense=True)
+
+
+@query
+def q_f_vec_masked_dense(spark, d):
+    return f_kmers(spark, d, apart=True).vec_count_masked(dense=True)
+
+
+@query
+def q_f_vec_duplicates(spark, d):
+    return reduce.duplicates(f_kmers(spark, d, True).df.select("ref", "strand", F.col("start").alias("pos")))
+
+
+@query
+def q_f_vec_replace(spark, d):
+    """Dense vectors where records of one ref replace each other's counts."""
+    return f_kmers(spark, d).vec_count(dense=True, replace=True)
+
+
+@query
+def q_f_group_chunks(spark, d):
+    return f_kmers(spark, d, apart=True).group_chunks(GROUP).select("kmer", "chunk", F.array_join("headers", " ").alias("headers"), "n")
+
+
+@query
+def q_f_scan(spark, d):
+    """FASTA files with text before the first title, CRs, spaces and lines of mixed length, scanned again."""
+    path = new_path(spark, "fasta")
+    preamble = table(spark, d, "fasta_records").select(F.lit(None).cast("bigint").alias("record_id"), F.lit("; no record").alias("value")).limit(1)
+    body = F.regexp_replace(F.coalesce("seq", F.lit("")), "(.{60})", "$1\n")
+    rows = table(spark, d, "fasta_records").select("record_id", F.concat(F.lit(">"), "title", F.lit("\r\n"), body).alias("value"))
+    both = preamble.unionByName(rows).orderBy(F.col("record_id").asc_nulls_first()).select("value")
+    both.write.text(path)
+    return fasta.read_fasta(spark, path).select("title", "ref", "seq")
+
+
+@query
+def q_f_scan_chunks(spark, d):
+    """k-mer counts of such files, read as chunks that overlap."""
+    path = new_path(spark, "fasta")
+    fasta.write_parts(table(spark, d, "fasta_records").select(F.col("title").alias("header"), F.regexp_replace("seq", "(.{60})", "$1\n").alias("seq")), path)
+    return KmerEngine(spark).from_fasta(path, 1000, K - 1).kmers(K).seq_count()
+
+
+@query
+def q_headers_checked(spark, d):
+    """The headers of `kmers`, many of them malformed: parsed where they can be, and held against the checks of a window of that k-mer."""
+    rows = table(spark, d, "kmers").select("row_id", "header", F.upper(F.btrim("kmer", F.lit(" \t\r"))).alias("kmer"), coords.parse_coords(F.col("header"), strict=False).alias("c"))
+    ok = coords.validity(F.col("start"), F.col("end"), F.col("strand"), F.col("kmer"))
+    return rows.select("row_id", "kmer", coords.is_header(F.col("header")).alias("sound"), "c.*").select("row_id", "sound", "ref", "start", "end", "strand", *(c.alias(n) for n, c in ok.items()))
+
+
+@query
+def q_group_lines(spark, d):
+    """Group lines written as text, and scanned as batches of such lines."""
+    path = new_path(spark, "groups")
+    q_kmer_groups(spark, d).select("text").write.text(path)
+    return store.read_groups(spark, path).select("kmer", F.size("headers").cast("bigint").alias("n"), F.array_join("headers", " ").alias("headers"))
+
+
+@query
+def q_batch_append(spark, d):
+    """A folder of batches to which more are appended: the k-mers of RNA records twice over, and batches of at most 500 records."""
+    path = new_path(spark, "batches")
+    k = f_kmers(spark, d, natype="RNA")
+    k.write_batches(path, "gzip", batch_size=500)
+    k.append_batches(path, batch_size=500)
+    return store.read_batches(spark, path, K)
+
+
+@query
+def q_batch_sizes(spark, d):
+    """The records of each of these files."""
+    path = new_path(spark, "batches")
+    f_kmers(spark, d, natype="RNA").write_batches(path, batch_size=500)
+    lines = spark.read.text(path).where(F.col("value").startswith(">")).groupBy(F.col("_metadata.file_name").alias("file")).agg(F.count(F.lit(1)).alias("n"))
+    return lines.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_records"), (F.coalesce(F.max("n"), F.lit(0)) <= 500).alias("in_size"))
+
+
+def _numbered(spark: SparkSession, path: str) -> DataFrame:
+    """(line_no, line) of the parts of a folder, in their order."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
+    lines = materialise(lines, "lines")
+    first = lines.groupBy("file", "block").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("n"))  # a row for each split
+    before = F.coalesce(F.sum("n").over(Window.orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return lines.join(first.select("file", "block", "first", before.alias("before")), ["file", "block"]).select((F.col("before") + F.col("at") - F.col("first")).alias("line_no"), "line")
+
+
+@query
+def q_uniq_file(spark, d):
+    """The lines of the written FASTA parts of single k-mers, in order."""
+    path = new_path(spark, "uniq")
+    f_kmers(spark, d).write_unique(path)
+    return _numbered(spark, path)
+
+
+@query
+def q_seq_count_file(spark, d):
+    """The lines of the written parts of counts, in order."""
+    path = new_path(spark, "counts")
+    f_kmers(spark, d, True).write_counts(path)
+    return _numbered(spark, path)
+
+
 W = "[ACGT]+"
 BASE = f"""rec AS (SELECT 'doc' || doc_id AS ref, upper(regexp_replace(text, '[^ACGTKacgtk]', '', 'g')) AS seq FROM documents),
  a AS (SELECT ref, i AS start, substring(seq, i + 1, {K}) AS kmer FROM (SELECT ref, seq, unnest(range(0, greatest(length(seq) - {K} + 1, 0))) AS i FROM rec)),
@@ -260,6 +439,14 @@ BASE = f"""rec AS (SELECT 'doc' || doc_id AS ref, upper(regexp_replace(text, '[^
  md AS (SELECT r.ref, r.strand, r.pos, coalesce(vm.count, 0) AS count FROM (SELECT ref, strand, unnest(range(0, max(pos) + 1)) AS pos FROM vm GROUP BY ref, strand) r
   LEFT JOIN vm USING (ref, strand, pos)),
  h AS (SELECT *, ref || ':' || start || '-' || (start + {K}) || ':' || strand AS header FROM v)"""
+F_BASE = f"""rec AS (SELECT ref, ref || '.' || record_id AS one, natype, upper(translate(seq, ' ' || chr(13), '')) AS seq FROM fasta_records),
+ a AS (SELECT ref, one, natype, i AS start, substring(seq, i + 1, {K}) AS kmer FROM (SELECT *, unnest(range(0, greatest(length(seq) - {K} + 1, 0))) AS i FROM rec)),
+ v AS (SELECT ref, one, start, '+' AS strand, kmer FROM a WHERE regexp_full_match(kmer, '{W}')),
+ w AS (SELECT * FROM v UNION ALL SELECT ref, one, start, '-', translate(reverse(kmer), 'ACGT', 'TGCA') FROM v),
+ vc AS (SELECT ref, one, strand, start AS pos, count(*) OVER (PARTITION BY kmer) AS count FROM w),
+ pc AS (SELECT ref, one, strand, start AS pos, count(*) OVER (PARTITION BY kmer) AS count, count(*) OVER (PARTITION BY kmer) - count(*) OVER (PARTITION BY kmer, one) AS other FROM v),
+ h AS (SELECT *, ref || ':' || start || '-' || (start + {K}) || ':' || strand AS header, one || ':' || start || '-' || (start + {K}) || ':' || strand AS one_header FROM v)"""
+F_ONCE = "SELECT min(ref) AS ref, min(start) AS start, min(strand) AS strand, kmer, min(header) AS header FROM {} GROUP BY kmer HAVING count(*) = 1"
 PARTS = f"start, start + {K} AS \"end\", strand, kmer"
 UNIQUE = "SELECT min(ref) AS ref, min(start) AS start, min(strand) AS strand, kmer FROM {} GROUP BY kmer HAVING count(*) = 1"
 
@@ -309,4 +496,43 @@ def oracle() -> dict[str, str]:
         "store_roundtrip": "SELECT kmer, count(*) AS n FROM w GROUP BY kmer",
     }
     tails["vector_files"] = tails["vector_lines"]
-    return {name: f"WITH {BASE}\n{tail}" for name, tail in tails.items()}
+    tails["group_lines"] = "SELECT kmer, count(*) AS n, string_agg(header, ' ' ORDER BY header) AS headers FROM h GROUP BY kmer"
+    grown = """SELECT r.{0} AS ref, r.strand, r.pos, coalesce(c.count, 0) AS count FROM (SELECT {0}, strand, unnest(range(0, max(pos) + 1)) AS pos FROM {1} GROUP BY {0}, strand) r
+  LEFT JOIN (SELECT {0}, strand, pos, max({2}) AS count FROM {1} GROUP BY ALL) c USING ({0}, strand, pos)"""
+    rna = f"""SELECT ref, i AS start, substring(seq, i + 1, {K}) AS kmer FROM (SELECT *, unnest(range(0, greatest(length(seq) - {K} + 1, 0))) AS i FROM rec WHERE natype = 'RNA')"""
+    rna = f"SELECT ref, start, kmer FROM ({rna}) WHERE regexp_full_match(kmer, '[ACGU]+')"
+    header = r"'(?s)^(.+):([0-9]+)-([0-9]+):([+-])$', ['ref', 'a', 'b', 'strand']"
+    f_tails = {
+        "f_records": "SELECT record_id, split_part(title, ' ', 1) AS ref, upper(translate(seq, ' ' || chr(13), '')) AS seq FROM fasta_records",
+        "f_kmers_plus": f"SELECT ref, {PARTS} FROM v",
+        "f_kmers_both": f"SELECT ref, {PARTS} FROM w",
+        "f_kmers_minus": f"""SELECT ref, start, start + {K} AS "end", CASE strand WHEN '+' THEN '-' ELSE '+' END AS strand, kmer FROM w""",
+        "f_kmers_rna": f"""WITH u AS ({rna}) SELECT ref, start, start + {K} AS "end", '+' AS strand, kmer FROM u UNION ALL SELECT ref, start, start + {K}, '-', translate(reverse(kmer), 'ACGU', 'UGCA') FROM u""",
+        "f_rejected_windows": f"SELECT ref, regexp_replace(kmer, '[ACGT]', '', 'g') AS others, count(*) AS n FROM a WHERE NOT regexp_full_match(kmer, '{W}') GROUP BY ALL",
+        "f_uniq": "SELECT min(ref) AS ref, min(start) AS start, min(strand) AS strand, kmer FROM v GROUP BY kmer HAVING count(*) = 1",
+        "f_uniq_rc": "SELECT min(ref) AS ref, min(start) AS start, min(strand) AS strand, kmer FROM w GROUP BY kmer HAVING count(*) = 1",
+        "f_seq_count": "SELECT kmer, count(*) AS n FROM v GROUP BY kmer",
+        "f_seq_count_rc": "SELECT kmer, count(*) AS n FROM w GROUP BY kmer",
+        "f_vec_count": "SELECT ref, strand, pos, count FROM vc",
+        "f_vec_count_masked": "SELECT * FROM (SELECT ref, strand, start AS pos, count(*) OVER (PARTITION BY kmer) - count(*) OVER (PARTITION BY kmer, ref) AS count FROM w) WHERE count > 0",
+        "f_vec_dense": grown.format("one", "pc", "count"),
+        "f_vec_masked_dense": grown.format("one", "(SELECT * FROM pc WHERE other > 0)", "other"),
+        "f_vec_duplicates": "SELECT ref, strand, start AS pos, count(*) AS n FROM w GROUP BY ref, strand, start HAVING count(*) > 1",
+        "f_vec_replace": grown.format("ref", "pc", "count"),
+        "f_group_chunks": f"""SELECT kmer, run - min(run) OVER (PARTITION BY kmer) AS chunk, headers, n FROM (SELECT kmer, run, string_agg(one_header, ' ' ORDER BY one_header) AS headers, count(*) AS n
+  FROM (SELECT *, (row_number() OVER (ORDER BY kmer, one_header) - 1) // {GROUP} AS run FROM h) GROUP BY kmer, run)""",
+        "f_scan": "SELECT rtrim(title) AS title, split_part(rtrim(title), ' ', 1) AS ref, coalesce(translate(seq, ' ' || chr(13), ''), '') AS seq FROM fasta_records",
+        "f_scan_chunks": "SELECT kmer, count(*) AS n FROM v GROUP BY kmer",
+        "headers_checked": f"""SELECT row_id, sound, CASE WHEN sound THEN h.ref END AS ref, a AS start, b AS "end", CASE WHEN sound THEN h.strand END AS strand, a >= 0 AS start_ok, b >= 0 AS end_ok,
+  CASE WHEN sound THEN h.strand IN ('+', '-') END AS strand_ok, length(k) = b - a AS length_ok FROM (SELECT *, TRY_CAST(h.a AS BIGINT) AS a, TRY_CAST(h.b AS BIGINT) AS b FROM
+  (SELECT row_id, upper(trim(kmer, ' ' || chr(9) || chr(13))) AS k, regexp_full_match(header, '(?s).+:[0-9]+-[0-9]+:[+-]') AS sound, regexp_extract(header, {header}) AS h FROM kmers))""",
+        "batch_append": f"SELECT ref, start, '+' AS strand, kmer FROM ({rna}) UNION ALL SELECT ref, start, '+', kmer FROM ({rna})",
+        "batch_sizes": f"SELECT count(*) AS n_records, true AS in_size FROM ({rna})",
+        "uniq_file": f"""SELECT n + i AS line_no, CASE i WHEN 0 THEN '>' || header ELSE kmer END AS line FROM (SELECT *, 2 * (row_number() OVER (ORDER BY kmer) - 1) AS n, unnest([0, 1]) AS i FROM ({F_ONCE.format("h")}))""",
+        "seq_count_file": "SELECT row_number() OVER (ORDER BY kmer) - 1 AS line_no, kmer || chr(9) || n AS line FROM (SELECT kmer, count(*) AS n FROM w GROUP BY kmer)",
+    }
+    f_tails["f_kmers_rna"] = f_tails["f_kmers_rna"].removeprefix("WITH ")
+    for_all = {name: f"WITH {BASE}\n{tail}" for name, tail in tails.items()}
+    for name, tail in f_tails.items():
+        for_all[name] = f"WITH {F_BASE}{', ' if name == 'f_kmers_rna' else chr(10)}{tail}"
+    return for_all
