@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -221,14 +222,17 @@ def write_vectors(vector: DataFrame, path: str, k: int, mode: str = "append", re
     jvm = spark._jvm
     unescape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.unescapePathName
     Path = jvm.org.apache.hadoop.fs.Path
-    for folder in fs.listStatus(Path(draft)):
-        name = folder.getPath().getName()
-        if name.startswith("file="):
-            for part in fs.listStatus(folder.getPath()):  # one
-                target = Path(root, Path(None, None, unescape(name.removeprefix("file="))))
-                if mode == "overwrite":
-                    fs.delete(target, False)
-                fs.rename(part.getPath(), target)
+
+    def place(folder: str) -> None:
+        target = Path(root, Path(None, None, unescape(folder.removeprefix("file="))))
+        if mode == "overwrite":
+            fs.delete(target, False)
+        for part in fs.listStatus(Path(f"{draft}/{folder}")):  # one
+            fs.rename(part.getPath(), target)
+
+    names = [n for n in (s.getPath().getName() for s in fs.listStatus(Path(draft))) if n.startswith("file=")]
+    with ThreadPoolExecutor(16) as pool:  # the work of each is a call or two to the file system
+        list(pool.map(place, names))
     fs.delete(Path(draft), True)
     fs.create(Path(root, "_SUCCESS"), True).close()
 
