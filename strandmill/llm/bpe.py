@@ -67,6 +67,11 @@ def byte_letters() -> list[str]:
     return [chr(b if b in plain else next(rest)) for b in range(256)]
 
 
+def spill_dir() -> str:
+    """Where Spark itself spills on this executor; outside of a task the system's folder."""
+    return os.environ.get("SPARK_LOCAL_DIRS", "").split(",")[0] or tempfile.gettempdir()
+
+
 class Encoder:
     """The merge table in DuckDB, and the words that it has encoded; one per worker process and vocabulary file."""
 
@@ -89,7 +94,7 @@ class Encoder:
         self.bytes_of = {vocab[a + b]: t for (a, b), t in zip(merges, texts, strict=True)} | {int(i): bytes([b]) for b, i in enumerate(self.of_byte)}
         column = lambda xs: pa.array(xs, pa.int32())
         pairs = pa.table({"l": column([vocab[a] for a, _ in merges]), "r": column([vocab[b] for _, b in merges]), "rank": column(range(len(merges))), "id": column([vocab[a + b] for a, b in merges])})  # noqa: F841
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": tempfile.gettempdir()})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": spill_dir()})
         self.db.execute("CREATE TABLE merges AS SELECT * FROM pairs")
         # Which neighbouring bytes, and which three, are together in some token: anything else is a place where words can be cut.
         self.two, self.three = np.zeros(1 << 16, bool), np.zeros(1 << 24, bool)
