@@ -101,7 +101,8 @@ def mixed(*words: np.ndarray) -> np.ndarray:
 
 
 def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
-    return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    # Small numbers are sorted in linear time.
+    return ((h >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.uint16 if buckets <= 1 << 16 else np.uint32)
 
 
 @functools.lru_cache(4)
@@ -193,14 +194,14 @@ def distinct(words: list[np.ndarray], source: np.ndarray) -> tuple[np.ndarray, n
     order, start = grouped(words)
     if not len(order):
         return order, source, source, order
-    first = np.minimum.reduceat(order, start)
-    low, high = np.minimum.reduceat(source[order], start), np.maximum.reduceat(source[order], start)
-    group = np.empty(len(order), np.int64)
-    group[order] = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(order))))
-    by = np.argsort(first)
-    back = np.empty(len(by), np.int64)
-    back[by] = np.arange(len(by))
-    return first[by], low[by], high[by], back[group]
+    first, sorted_source = np.minimum.reduceat(order, start), source[order]
+    low, high = np.empty(len(order), source.dtype), np.empty(len(order), source.dtype)
+    low[first], high[first] = np.minimum.reduceat(sorted_source, start), np.maximum.reduceat(sorted_source, start)
+    kept = np.zeros(len(order), bool)
+    kept[first] = True
+    group = np.empty(len(order), np.int32)
+    group[order] = np.repeat((np.cumsum(kept, dtype=np.int32) - 1)[first], np.diff(np.append(start, len(order))))
+    return np.flatnonzero(kept), low[kept], high[kept], group
 
 
 ASKED = "pack bigint, bucket int, words binary, sources binary, runs binary"
