@@ -153,21 +153,17 @@ USABLE = f"SELECT * REPLACE ({CLEAN} AS kmer) FROM kmers WHERE regexp_full_match
 SPACE = " \\t\\n\\r\\x0b\\x0c\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}"
 
 
-def ends(pattern: str, less: int = 0) -> str:
-    """SQL: where the matches of a pattern in s end, less a few characters."""
-    parts, found = f"regexp_split_to_array(s, '{pattern}')", f"regexp_extract_all(s, '{pattern}')"
-    return f"[list_sum([length(x) FOR x IN {parts}[1:i]]) + list_sum([length(x) FOR x IN {found}[1:i]]) - {less} FOR i IN range(1, len({found}) + 1)]"
-
-
-def pieces_sql(rows: str, key: str, levels: list[str], limit: int, overlap: int) -> str:
-    """SQL for all pieces of rows (key, s): (key, piece_no, piece_start, piece_end, piece)."""
-    names = ", ".join(f"c{i}" for i in range(len(levels)))
-    cuts = ", ".join(f"{x} AS c{i}" for i, x in enumerate(levels))
+def pieces_sql(rows: str, key: str, levels: list[tuple[str, int]], limit: int, overlap: int) -> str:
+    """SQL for all pieces of rows (key, s): (key, piece_no, piece_start, piece_end, piece). levels: patterns, with how many characters before its end a match cuts."""
+    split = ", ".join(f"regexp_split_to_array(s, '{x}') AS p{i}, regexp_extract_all(s, '{x}') AS g{i}" for i, (x, _) in enumerate(levels))
+    sizes = ", ".join(f"[length(p{i}[x]) + length(g{i}[x]) FOR x IN range(1, len(g{i}) + 1)] AS l{i}" for i in range(len(levels)))
+    cuts = ", ".join(f"[list_sum(l{i}[1:x]) - {less} FOR x IN range(1, len(l{i}) + 1)] AS c{i}" for i, (_, less) in enumerate(levels))
     end = lambda a: f"""CASE WHEN n - ({a}) <= {limit} THEN n ELSE coalesce({", ".join(f"list_max([x FOR x IN c{i} IF x > {a} + {overlap} AND x <= {a} + {limit}])" for i in range(len(levels)))}, {a} + {limit}) END::BIGINT"""
-    return f"""WITH RECURSIVE rec AS ({rows}), marks AS (SELECT {key}, s, length(s) AS n, {cuts} FROM rec WHERE s IS NOT NULL),
-walk AS (SELECT {key}, s, n, {names}, 0::BIGINT AS no, 0::BIGINT AS a, {end("0")} AS b FROM marks
- UNION ALL SELECT {key}, s, n, {names}, no + 1, b - {overlap}, {end(f"(b - {overlap})")} FROM walk WHERE b < n)
-SELECT {key}, no AS piece_no, a AS piece_start, b AS piece_end, substring(s, a + 1, b - a) AS piece FROM walk"""
+    return f"""WITH RECURSIVE rec AS ({rows}), parts AS (SELECT {key}, s, {split} FROM rec WHERE s IS NOT NULL), sizes AS (SELECT {key}, s, {sizes} FROM parts),
+marks AS MATERIALIZED (SELECT {key}, s, length(s) AS n, {cuts} FROM sizes),
+walk AS (SELECT {key}, 0::BIGINT AS no, 0::BIGINT AS a, {end("0")} AS b FROM marks
+ UNION ALL SELECT {key}, no + 1, b - {overlap}, {end(f"(b - {overlap})")} FROM walk JOIN marks USING ({key}) WHERE b < n)
+SELECT {key}, no AS piece_no, a AS piece_start, b AS piece_end, substring(s, a + 1, b - a) AS piece FROM walk JOIN marks USING ({key})"""
 
 
 PIECES = r"""WITH RECURSIVE rec AS (SELECT record_id, translate(seq, ' ' || chr(13), '') AS s FROM fasta_records),
@@ -198,8 +194,8 @@ hits AS (SELECT span_id, min(i) AS hit_start, max(i) + 50 AS hit_end FROM runs G
 
 ORACLE = {
     "p3_found": PIECES,
-    "p3_pieces": pieces_sql("SELECT record_id, translate(seq, ' ' || chr(13), '') AS s FROM fasta_records", "record_id", [ends("[Nn-]{10,}")], 2000, 40),
-    "p3_documents": pieces_sql("SELECT doc_id, text AS s FROM documents", "doc_id", [ends("\\n=", 1), ends(f"\\n[ \\t\\r]*\\n[{SPACE}]*"), ends(f"[.!?。！？]+[{SPACE}]+"), ends(f"[{SPACE}]+")], 1500, 100),
+    "p3_pieces": pieces_sql("SELECT record_id, translate(seq, ' ' || chr(13), '') AS s FROM fasta_records", "record_id", [("[Nn-]{10,}", 0)], 2000, 40),
+    "p3_documents": pieces_sql("SELECT doc_id, text AS s FROM documents", "doc_id", [("\\n=", 1), (f"\\n[ \\t\\r]*\\n[{SPACE}]*", 0), (f"[.!?。！？]+[{SPACE}]+", 0), (f"[{SPACE}]+", 0)], 1500, 100),
     "p9_holds": r"""SELECT source, coalesce(n, 0) AS n_documents, coalesce(n, 0) > 0 AS used, true AS share_holds, true AS cap_holds FROM
  (SELECT DISTINCT lower(trim(source, E' \t\r\n')) AS source FROM mix_targets) LEFT JOIN
  (SELECT lower(trim(source, E' \t\r\n')) AS source, count(*) AS n FROM documents WHERE text <> '' GROUP BY 1) USING (source)""",
