@@ -80,8 +80,9 @@ def duplicates(vector: DataFrame) -> DataFrame:
 
 
 def cells(vector: DataFrame, replace: bool = False) -> DataFrame:
-    """(ref, strand, pos, count), one row for each cell. A cell that is filled twice is an error, unless one count may replace another; then the greatest stays."""
-    one = vector.groupBy("ref", "strand", "pos").agg(F.count(F.lit(1)).alias("n"), F.max("count").alias("count"))
+    """(ref, strand, pos, count), one row for each cell. A cell that is filled twice is an error, unless one count may replace another; then the greatest stays.
+    Counts without a ref, strand or position are in no cell."""
+    one = vector.where("ref is not null and strand is not null and pos is not null").groupBy("ref", "strand", "pos").agg(F.count(F.lit(1)).alias("n"), F.max("count").alias("count"))
     if not replace:
         # A filter, as a column with the error in it would be left out of a plan that doesn't need its value.
         twice = F.raise_error(F.concat(F.lit("cell filled twice: "), F.col("ref"), F.lit(" "), F.col("strand"), F.lit(" "), F.col("pos").cast("string"))).cast("boolean")

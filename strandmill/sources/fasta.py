@@ -28,8 +28,7 @@ ZEROS = 65_536  # lines of a gap that are written as one value
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a file, folder or pattern names anything; names that start with '.' or '_' and empty files in folders don't count."""
     fs, p = file_system(spark, path)
-    found = list(fs.globStatus(p) or [])
-    inside = [s for f in found for s in (fs.listStatus(f.getPath()) if f.isDirectory() else [f])]
+    inside = (s for f in fs.globStatus(p) or [] for s in (fs.listStatus(f.getPath()) if f.isDirectory() else [f]))
     return any(s.getLen() > 0 and s.getPath().getName()[0] not in "._" for s in inside)
 
 

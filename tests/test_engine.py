@@ -156,6 +156,8 @@ def test_duplicate_cells_are_an_error(spark, rows):
         with pytest.raises(Exception, match="cell filled twice"):
             use(reduce.cells(k.vec_count()))
     assert rows(k.vec_count(dense=True, replace=True)) == [("a", "+", 0, 1)]
+    nowhere = engine(spark, [(None, "ACGT"), ("b", "ACGT")]).kmers(4)
+    assert rows(nowhere.vec_count(dense=True)) == [("b", "+", 0, 2)] and rows(nowhere.vec_count()) == [("b", "+", 0, 2), (None, "+", 0, 2)]
     both = k.vec_count().unionByName(k.vec_count().withColumn("count", F.lit(5).cast("bigint")))
     assert rows(reduce.dense(both, replace=True)) == [("a", "+", 0, 5)]
 
