@@ -58,10 +58,19 @@ def group_chunks(kmers: DataFrame, k: int, size: int = GROUP) -> DataFrame:
     return held.join(number.hint("merge"), "kmer").select("kmer", (F.col("run") - F.col("first")).alias("chunk"), "headers", "n")
 
 
+def give_back(rows: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """The inner join of rows with found (one row for each key) by a merge of 64-bit hashes of the keys, which sort faster than texts do.
+    The keys themselves are compared as ranges of one value, as equalities would be made keys of the sort again."""
+    named = found.withColumnsRenamed({c: f"__{c}" for c in keys}).withColumn("__found", F.xxhash64(*(f"__{c}" for c in keys)))
+    same = F.col("__hash") == F.col("__found")
+    for c in keys:
+        same = same & (F.col(c) >= F.col(f"__{c}")) & (F.col(c) <= F.col(f"__{c}"))
+    return rows.withColumn("__hash", F.xxhash64(*keys)).join(named.hint("merge"), same).drop("__hash", "__found", *(f"__{c}" for c in keys))
+
+
 def vec_count(kmers: DataFrame) -> DataFrame:
     """(ref, strand, pos, count): each occurrence with the size of its group."""
-    n = seq_count(kmers).hint("merge")
-    return kmers.join(n, "kmer").select("ref", "strand", F.col("start").alias("pos"), F.col("n").alias("count"))
+    return give_back(kmers, seq_count(kmers), ["kmer"]).select("ref", "strand", F.col("start").alias("pos"), F.col("n").alias("count"))
 
 
 def vec_count_masked(kmers: DataFrame) -> DataFrame:
@@ -70,8 +79,8 @@ def vec_count_masked(kmers: DataFrame) -> DataFrame:
     kmers = kmers.where("ref is not null and kmer is not null")  # said once, so that both uses of `own` share a shuffle
     own = kmers.groupBy("kmer", "ref").agg(F.count(F.lit(1)).alias("own"))
     total = own.groupBy("kmer").agg(F.sum("own").alias("total"), F.count(F.lit(1)).alias("refs")).where("refs > 1")
-    other = own.join(total.hint("merge"), "kmer").select("kmer", "ref", (F.col("total") - F.col("own")).alias("count"))
-    return kmers.join(other.hint("merge"), ["kmer", "ref"]).select("ref", "strand", F.col("start").alias("pos"), "count")
+    other = give_back(own, total, ["kmer"]).select("kmer", "ref", (F.col("total") - F.col("own")).alias("count"))
+    return give_back(kmers, other, ["kmer", "ref"]).select("ref", "strand", F.col("start").alias("pos"), "count")
 
 
 def duplicates(vector: DataFrame) -> DataFrame:
