@@ -11,7 +11,7 @@ as packed arrays, one row for each pack and bucket; a bucket answers each pack o
 pairs are ever shuffled, and no group grows with the number of its occurrences.
 
 Records are rows (id, source, text); null texts have no windows; a null source is a source of its own; repeated rows are of one source and share nothing;
-windows hold A, C, G and T only, case ignored. Sources are compared by 64-bit hashes.
+windows hold A, C, G and T only, case ignored; characters beyond ASCII count as one letter each, and so do bytes that aren't UTF-8, as Java decodes them. Sources are compared by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandmill.llm.runs import strings
+from strandmill.functions.alphabet import normalise
 from strandmill.sources.shared import materialise, width
 
 SPAN = 50
@@ -110,6 +110,10 @@ def residues(period: int, n: int) -> np.ndarray:
     return np.resize(np.arange(period, dtype=np.int16), n)
 
 
+def _ends(binary: pa.Array) -> np.ndarray:
+    return np.frombuffer(binary.buffers()[1], np.int32)[binary.offset : binary.offset + len(binary) + 1]
+
+
 class Pack:
     """The texts of a pack, in an order that depends on them only, as one row of letters with a gap after each text."""
 
@@ -231,14 +235,15 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, k in zip(zip(*rows) if rows else [[]] * len(of), of)], names=names)
 
 
-def coded(texts: list[str]) -> pa.Array:
-    """Each text as bytes of three letters, with a gap of one to three behind it."""
-    n = np.fromiter(map(len, texts), np.int64, len(texts))
+def coded(texts: pa.Array) -> pa.Array:
+    """Each text (BINARY, a byte for each letter) as bytes of three letters, with a gap of one to three behind it."""
+    n, letters = np.diff(_ends(texts)).astype(np.int64), np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    letters = letters[_ends(texts)[0] : _ends(texts)[-1]]
     room = n // 3 + 1
     end = np.cumsum(room)
     flat = np.full(3 * int(end[-1] if len(end) else 0), GAP, np.uint8)
     place = np.repeat(3 * (end - room) - (np.cumsum(n) - n), n)
-    flat[place + np.arange(len(place))] = CODES[np.frombuffer("".join(texts).encode("ascii", "replace"), np.uint8)]
+    flat[place + np.arange(len(place))] = CODES[letters]
     three = flat.reshape(-1, 3)
     return pa.Array.from_buffers(pa.binary(), len(texts), [None, pa.py_buffer(np.append(0, end).astype(np.int32)), pa.py_buffer(three[:, 0] * 25 + three[:, 1] * 5 + three[:, 2])])
 
@@ -251,10 +256,9 @@ def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for i in range(0, b.num_rows, 2000):
             part = b.slice(i, 2000)
-            texts = strings(part.column(4))
-            sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+            sizes = np.diff(_ends(part.column(4))).astype(np.int64)
             upto = letters + np.cumsum(sizes)
-            yield pa.RecordBatch.from_arrays([pa.array(pack + (upto - sizes) // PACK), *part.columns[:4], coded(texts), pa.array(sizes)], names=["pack", *b.schema.names, "letters"])
+            yield pa.RecordBatch.from_arrays([pa.array(pack + (upto - sizes) // PACK), *part.columns[:4], coded(part.column(4)), pa.array(sizes)], names=["pack", *b.schema.names, "letters"])
             letters = int(upto[-1])
 
 
@@ -364,8 +368,9 @@ def shared_spans(df: DataFrame, key: str, source: str, text: str, span: int = SP
     """(key, hit_start, hit_end): the maximal runs of positions of each row that are covered by windows of `span` letters
     which also occur in a row of another source. Rows with the same key, source and text are one."""
     s, spark = shape(span), df.sparkSession
-    whole = df.where(F.length(text) >= span).select(F.col(key).alias("key"), F.xxhash64(source, text).alias("hash"), F.xxhash64(source).alias("source"), F.col(text).alias("text"))
-    cut = F.explode(F.sequence(F.lit(0), F.length("text") - span, F.lit(PIECE))).alias("at")
+    # As bytes, one for each letter: the substring of a STRING walks from its start, which is quadratic in the record's length.
+    whole = df.where(F.length(text) >= span).select(F.col(key).alias("key"), F.xxhash64(source, text).alias("hash"), F.xxhash64(source).alias("source"), normalise(F.col(text)).cast("binary").alias("text"))
+    cut = F.explode(F.when(F.octet_length("text") >= span, F.sequence(F.lit(0), F.octet_length("text") - span, F.lit(PIECE)))).alias("at")
     rows = whole.select("key", "hash", "source", "text", cut).select("key", "hash", "source", "at", F.substr("text", F.col("at") + 1, F.lit(PIECE + span - 1)).alias("text"))
     kind = dict(df.dtypes)[key]
     pieces = materialise(rows.mapInArrow(_deal, f"pack bigint, key {kind}, hash bigint, source bigint, at int, text binary, letters bigint"), "pieces")

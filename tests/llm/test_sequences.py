@@ -3,6 +3,7 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -237,6 +238,14 @@ def test_span_of_one_record_in_all(spark, rows):
     assert rows(spans.shared_spans(df.withColumn("ref", F.lit("one")), "id", "ref", "t")) == []
 
 
+def test_spans_of_a_long_and_a_broken_record(spark, rows):
+    long = "ACGTTGCA" * 250_000
+    df = spark.createDataFrame([(1, "a", long), (2, "b", long[3:90]), (3, "b", "é" * 7 + long[:60].lower())], "id bigint, ref string, t string")
+    assert rows(spans.shared_spans(df, "id", "ref", "t")) == [(1, 0, len(long)), (2, 0, 87), (3, 7, 67)]
+    broken = df.selectExpr("id", "ref", "cast(concat(unhex('FF'), cast(t AS binary)) AS string) AS t")
+    assert [r[0] for r in rows(spans.shared_spans(broken, "id", "ref", "t"))] == [1, 2, 3]
+
+
 @pytest.mark.parametrize("bad", [0, -1, True, "50"])
 def test_bad_span(spark, bad):
     with pytest.raises(ValueError):
@@ -260,7 +269,7 @@ def test_packed_windows():
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.text("ACGTacgtN-é𝔸", max_size=40), max_size=9))
 def test_letters_as_bytes(texts):
-    back = ["".join("ACGT-"[c] for c in spans.THREE[np.frombuffer(x.as_py(), np.uint8)].reshape(-1)) for x in spans.coded(texts)]
+    back = ["".join("ACGT-"[c] for c in spans.THREE[np.frombuffer(x.as_py(), np.uint8)].reshape(-1)) for x in spans.coded(pa.array([None, *(t.encode("ascii", "replace") for t in texts)], pa.binary())[1:])]
     assert [x.rstrip("-") for x in back] == [re.sub("[^ACGT]", "-", t.upper()).rstrip("-") for t in texts]
     assert all(len(t) < len(x) <= len(t) + 3 for t, x in zip(texts, back))
 
