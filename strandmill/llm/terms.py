@@ -4,7 +4,8 @@ Method: range-partitioned external sort of (field, term, record, occurrence) row
 may fall anywhere, also within rows that are alike - a tie-breaker spreads them - so no term is too hot for a task. The scan marks the first and the last
 term of its partition with the rows at their ends; only these, at most two a partition, are merged: what is on both sides of a border counts once.
 
-Defined cases: rows with a null term are left out; a null record or occurrence is a value like any other; repeated rows are one occurrence.
+Defined cases: rows with a null term are left out; a null record or occurrence is a value like any other; repeated rows are one occurrence;
+bytes that aren't UTF-8 count as U+FFFD.
 """
 
 from __future__ import annotations
@@ -81,8 +82,9 @@ def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def term_frequencies(rows: DataFrame) -> DataFrame:
     """rows (field, term, record, occurrence) -> (field, term, occurrences, records): distinct occurrences and distinct records of each term."""
-    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\0")).alias(c)
-    plain = rows.where("field is not null and term is not null").select("field", "term", text("record"), text("occurrence"), F.monotonically_increasing_id().alias("tie"))
+    valid = lambda c: F.make_valid_utf8(F.col(c).cast("string"))
+    text = lambda c: F.coalesce(valid(c), F.lit("\0")).alias(c)
+    plain = rows.where("field is not null and term is not null").select(valid("field").alias("field"), valid("term").alias("term"), text("record"), text("occurrence"), F.monotonically_increasing_id().alias("tie"))
     by = [*NAMES, "tie"]
     ordered = plain.repartitionByRange(width(rows.sparkSession), *by).sortWithinPartitions(*by).select(*NAMES)
     found = materialise(ordered.mapInArrow(scan, SCHEMA), "terms")

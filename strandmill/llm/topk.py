@@ -5,7 +5,8 @@ to disk) and writes its local counts and its own leaders. 1: the leaders' summed
 has at least a node's share of it somewhere, so only local counts of at least the share are fetched; their sums raise the bound and drop what
 can't reach it even with less than the share on every other node. 3: the counts of the rest are fetched from all nodes and summed. The result is exact.
 
-Defined cases: null values don't count; ties at the k-th place go to the smaller value; with fewer than k values all come out.
+Defined cases: null values don't count; ties at the k-th place go to the smaller value; with fewer than k values all come out;
+bytes that aren't UTF-8 count as U+FFFD.
 """
 
 from __future__ import annotations
@@ -67,7 +68,7 @@ def top_k(df: DataFrame, value: Column, k: int, nodes: int | None = None) -> Dat
     """(value, n): the k most frequent values. nodes: how many parts hold local counts at most, by default as many as the input has partitions; it also bounds the tasks that scan the input."""
     if k < 1:
         raise ValueError("k must be at least 1")
-    rows = df.select(value.alias("value")).where("value is not null")
+    rows = df.select(F.make_valid_utf8(value).alias("value")).where("value is not null")
     rows = (rows.coalesce(nodes) if nodes else rows).sortWithinPartitions("value")
     counts = materialise(rows.mapInArrow(_local(k), SCHEMA), "local-counts")
     local = counts.where("not leader").select("value", "n")

@@ -109,6 +109,16 @@ def test_top_k(spark, rows):
         topk.top_k(df, F.col("v"), 0)
 
 
+def test_broken_bytes(spark, rows):
+    df = spark.sql("SELECT cast(unhex(x) AS string) AS t, 'r' AS r FROM VALUES ('FF41'), ('FF41'), ('FE41'), ('4142'), ('E282') AS v(x)")
+    assert [tuple(r) for r in topk.top_k(df, F.col("t"), 2).collect()] == [("\ufffdA", 3), ("AB", 1)]
+    got = rows(terms.term_frequencies(df.select(F.lit("f").alias("field"), F.col("r").alias("term"), F.col("t").alias("record"), F.col("t").alias("occurrence"))))
+    assert got == [("f", "r", 3, 3)]
+    assert rows(terms.term_frequencies(df.select(F.lit("f").alias("field"), F.col("t").alias("term"), F.col("r").alias("record"), F.lit("").alias("occurrence")))) == sorted([("f", x, 1, 1) for x in ("\ufffdA", "AB", "\ufffd")], key=repr)
+    seen = ledger.seen_before(df.limit(0), F.col("t"), df.withColumn("i", F.monotonically_increasing_id()), F.col("t"), "i")
+    assert seen.count() == 1
+
+
 # Key ledger
 
 
