@@ -98,6 +98,12 @@ def test_chunks_over_splits(spark, rows, tmp_path, split, width, chunk):
     assert len(want) > 300
 
 
+def test_broken_bytes(spark, rows, tmp_path):
+    (tmp_path / "t.fa").write_bytes(b"\xff\n>a\xff b\nAC\xfeG\n>b\n\xc3")
+    want = sorted([("a\ufffd b", "a\ufffd", "AC\ufffdG", 0), ("b", "b", "\ufffd", 0)], key=repr)
+    assert rows(fasta.read_fasta(spark, str(tmp_path / "t.fa"))) == rows(fasta.read_fasta(spark, str(tmp_path / "t.fa"), 50, 3).where("seq <> ''")) == want
+
+
 def test_titles_that_start_alike(spark, rows, tmp_path):
     path = put(tmp_path / "t.fa", ">>a\nAC\tG\t\n>>b\n\tGT\v\n>\nA\n")
     with splits_of(spark, 4):
