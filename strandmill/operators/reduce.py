@@ -51,11 +51,12 @@ def groups(kmers: DataFrame, k: int) -> DataFrame:
 def group_chunks(kmers: DataFrame, k: int, size: int = GROUP) -> DataFrame:
     """(kmer, chunk, headers, n): the groups in rows of at most `size` headers; the chunks of a k-mer, from 0, hold its headers in order.
     Occurrences are numbered in (k-mer, header) order and cut into equal runs, so that a hot k-mer is shared by as many tasks as it has chunks."""
-    rows = chunk_by_key(kmers, F.col("kmer"), header(k), size).rows
-    run = rows.select(F.col("key").alias("kmer"), F.col("member").alias("header"), F.expr(f"row_no div {size}").alias("run")).repartition("run")
-    held = run.groupBy("run", "kmer").agg(F.sort_array(F.collect_list("header")).alias("headers"), F.count(F.lit(1)).alias("n"))
-    number = rows.select(F.col("key").alias("kmer"), F.expr(f"row_no div {size}").alias("run")).groupBy("kmer").agg(F.min("run").alias("first"))
-    return held.join(number.hint("merge"), "kmer").select("kmer", (F.col("run") - F.col("first")).alias("chunk"), "headers", "n")
+    rows = chunk_by_key(kmers, F.col("kmer"), header(k), size).rows.select(F.col("key").alias("kmer"), F.col("member").alias("header"), F.expr(f"row_no div {size}").alias("run"))
+    # Where a k-mer goes on over the end of a run, the run in which it begins: a row for each such end. Rows are brought together by (run, k-mer), which no k-mer dominates.
+    over = rows.groupBy("kmer").agg(F.min("run").alias("first"), F.max("run").alias("last")).where("first < last")
+    over = over.select("kmer", "first", F.explode(F.sequence(F.col("first") + 1, "last")).alias("run"))
+    held = rows.join(over.hint("merge"), ["run", "kmer"], "left").groupBy("run", "kmer", "first").agg(F.sort_array(F.collect_list("header")).alias("headers"), F.count(F.lit(1)).alias("n"))
+    return held.select("kmer", (F.col("run") - F.coalesce("first", "run")).alias("chunk"), "headers", "n")
 
 
 def give_back(rows: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
