@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from strandmill.functions.alphabet import letters
 from strandmill.functions.coords import format_coords
 from strandmill.functions.formats import count_text
-from strandmill.operators import extract, layout, reduce
+from strandmill.operators import extract, layout, packs, reduce
 from strandmill.sources import fasta, store
 from strandmill.sources.shared import width
 
@@ -46,7 +46,7 @@ class Records:
             raise ValueError("reverse must be a bool")
         letters(natype)
         rows = extract.windows(self.df, k, reverse, natype, scan, batch_size, partitions or width(self.df.sparkSession), strand=strand)
-        return Kmers(rows, k, natype, reverse, self.df.select("ref"))
+        return Kmers(rows, k, natype, reverse, self.df.select("ref"), self.df, strand)
 
     def chunks(self, k: int, size: int) -> DataFrame:
         return extract.chunks(self.df, k, size)
@@ -59,6 +59,8 @@ class Kmers:
     natype: str = "DNA"
     reverse: bool = False
     refs: DataFrame | None = None  # where the refs can be read without cutting windows
+    records: DataFrame | None = None  # all that the windows were cut from, where they were
+    strand: str = "+"  # that of the records
 
     def count(self) -> DataFrame:
         return self.df.agg(F.count(F.lit(1)).alias("n"))
@@ -81,7 +83,11 @@ class Kmers:
         return reduce.dense(out, replace) if dense else out
 
     def vec_count_masked(self, dense: bool = False, replace: bool = False) -> DataFrame:
-        out = reduce.vec_count_masked(self.df)
+        if self.records is None or self.k > packs.WORD:
+            out = reduce.vec_count_masked(self.df)
+            return reduce.dense(out, replace) if dense else out
+        blocks = packs.sparse(self.records, self.k, self.natype, self.reverse, masked=True)
+        out = packs.vector(blocks, self.reverse, self.strand)
         return reduce.dense(out, replace) if dense else out
 
     def with_coords(self) -> DataFrame:
@@ -91,7 +97,7 @@ class Kmers:
         if (self.k, self.natype, self.reverse) != (new.k, new.natype, new.reverse):
             raise ValueError("both must have the same k, natype and reverse")
         refs = layout.feed(self.refs, new.refs, mode) if self.refs and new.refs else None
-        return replace(self, df=layout.feed(self.df, new.df, mode), refs=refs)
+        return replace(self, df=layout.feed(self.df, new.df, mode), refs=refs, records=None)
 
     def save(self, path: str, batch_size: int = 1_000_000, compression: str = "zstd", mode: str = "errorifexists") -> None:
         store.write_store(self.df, path, self.k, self.natype, self.reverse, batch_size, compression, mode)
