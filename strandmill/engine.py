@@ -87,8 +87,7 @@ class Kmers:
             out = reduce.vec_count_masked(self.df)
             return reduce.dense(out, replace) if dense else out
         blocks = packs.sparse(self.records, self.k, self.natype, self.reverse, masked=True)
-        out = packs.vector(blocks, self.reverse, self.strand)
-        return reduce.dense(out, replace) if dense else out
+        return packs.dense(blocks, self.reverse, self.strand, replace) if dense else packs.vector(blocks, self.reverse, self.strand)
 
     def with_coords(self) -> DataFrame:
         return self.df.select("ref", "start", (F.col("start") + self.k).alias("end"), "strand", "kmer")

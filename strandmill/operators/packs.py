@@ -201,3 +201,67 @@ def vector(blocks: DataFrame, reverse: bool = False, strand: str = "+") -> DataF
     """(ref, strand, pos, count) of sparse rows: the cells that are filled."""
     cells = blocks.select("ref", (F.col("block") * BLOCK + F.col("at")).alias("base"), F.posexplode("counts").alias("i", "count")).where("count > 0")
     return cells.select("ref", strands(reverse, strand), (F.col("base") + F.col("i")).alias("pos"), "count")
+
+
+def _merged(replace: bool, strand: str):
+    """Sparse rows in the order of (ref, block) -> one row for each, from position 0 of the block to its last filled cell."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, done, size = None, [], 0
+
+        def settle() -> None:
+            (ref, block), parts = held
+            out = np.zeros(max(at + len(x) for at, x in parts), np.int64)
+            for at, x in parts:
+                here = out[at : at + len(x)]
+                if not replace and len(parts) > 1 and (twice := np.flatnonzero((here > 0) & (x > 0))).size:
+                    raise ValueError(f"cell filled twice: {ref} {strand} {block * BLOCK + at + int(twice[0])}")
+                np.maximum(here, x, out=here)
+            done.append((ref, block, 0, out[: np.flatnonzero(out)[-1] + 1]))
+
+        def flush() -> pa.RecordBatch:
+            refs, blocks, ats, lists = zip(*done)
+            counts = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, lists)]), pa.int32()), pa.array(np.concatenate(lists)))
+            done.clear()
+            return pa.RecordBatch.from_arrays([pa.array(refs, pa.string()), pa.array(blocks, pa.int64()), pa.array(ats, pa.int32()), counts], names=["ref", "block", "at", "counts"])
+
+        for b in batches:
+            lists = b.column(3)
+            ends, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+            for i, (ref, block, at) in enumerate(zip(*(b.column(c).to_pylist() for c in range(3)))):
+                if held is None or held[0] != (ref, block):
+                    if held is not None:
+                        settle()
+                    held = ((ref, block), [])
+                held[1].append((at, values[ends[i] : ends[i + 1]].copy()))
+                size += int(ends[i + 1] - ends[i])
+                if size > 1 << 21 and done:
+                    size = 0
+                    yield flush()
+        if held is not None:
+            settle()
+            yield flush()
+
+    return run
+
+
+def cells(blocks: DataFrame, replace: bool = False, strand: str = "+") -> DataFrame:
+    """Sparse rows, one for each (ref, block), written. As for reduce.cells, one that is filled twice is an error, or the greatest count stays, and counts without a ref are in no cell."""
+    rows = blocks.where("ref is not null").repartition(width(blocks.sparkSession), "ref", "block").sortWithinPartitions("ref", "block")
+    return materialise(rows.mapInArrow(_merged(replace, strand), CELLS), "cells")
+
+
+def full(cell: DataFrame) -> DataFrame:
+    """(ref, block, counts): the cells with zeros from 0 up to the last one of each ref."""
+    last = cell.groupBy("ref").agg(F.max("block").alias("last"))
+    every = last.select("ref", "last", F.explode(F.sequence(F.lit(0).cast("bigint"), "last")).alias("block"))
+    have = F.coalesce("counts", F.array().cast("array<bigint>"))
+    more = F.array_repeat(F.lit(0).cast("bigint"), F.lit(BLOCK) - F.size(have))
+    counts = F.when(F.col("block") < F.col("last"), F.concat(have, more)).otherwise(have)
+    return every.join(cell.select("ref", "block", "counts").hint("merge"), ["ref", "block"], "left").select("ref", "block", counts.alias("counts"))
+
+
+def dense(blocks: DataFrame, reverse: bool = False, strand: str = "+", replace: bool = False) -> DataFrame:
+    """(ref, strand, pos, count): the vector with zeros from 0 up to the last position of each (ref, strand)."""
+    rows = full(cells(blocks, replace, strand)).select("ref", (F.col("block") * BLOCK).alias("base"), F.posexplode("counts").alias("i", "count"))
+    return rows.select("ref", strands(reverse, strand), (F.col("base") + F.col("i")).alias("pos"), "count")
