@@ -112,7 +112,11 @@ class Kmers:
         fasta.write_parts(rows, path, "tsv", compression, mode)
 
     def write_vectors(self, path: str, masked: bool = False, mode: str = "append", replace: bool = False) -> None:
-        fasta.write_vectors(reduce.vec_count_masked(self.df) if masked else reduce.vec_count(self.df), path, self.k, mode, replace)
+        if self.records is None or self.k > packs.WORD:
+            fasta.write_vectors(reduce.vec_count_masked(self.df) if masked else reduce.vec_count(self.df), path, self.k, mode, replace)
+            return
+        cells = packs.cells(packs.sparse(self.records, self.k, self.natype, self.reverse, masked), replace, self.strand)
+        fasta.write_cells(cells, path, self.k, (self.strand, extract.STRANDS[self.strand]) if self.reverse else (self.strand,), mode)
 
     def _batches(self) -> DataFrame:
         return self.df.sortWithinPartitions("kmer").select(reduce.header(self.k).alias("header"), F.col("kmer").alias("seq"))

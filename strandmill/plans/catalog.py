@@ -241,12 +241,10 @@ def q_batch_files(spark, d):
 
 @query
 def q_vector_files(spark, d):
-    """The lines of written vector files. A gzip file is one task's, so ids that rise within a task number its lines."""
+    """The lines of written vector files."""
     path = new_path(spark, "vectors")
     kmers(spark, d, True).write_vectors(path)
-    lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"))
-    first = lines.groupBy("file").agg(F.min("at").alias("first"))
-    return lines.join(first.hint("merge"), "file").select("file", (F.col("at") - F.col("first")).alias("line_no"), "line")
+    return fasta.read_vectors(spark, path)
 
 
 # The same operators on sequences as they are in practice: gaps, mixed case, ambiguity letters, RNA among DNA, empty and null ones, several records of one ref, repeated deliveries.

@@ -9,17 +9,20 @@ longer ones, and these few are brought together by the order of the splits in th
 
 from __future__ import annotations
 
+import gzip
+import os
 import re
 import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strandmill.sources.shared import file_system, materialise
+from strandmill.sources.shared import file_system, materialise, width
 
 PIECES = "file string, block bigint, record bigint, title string, seq string, offset bigint, open boolean"
 ZEROS = 65_536  # lines of a gap that are written as one value
@@ -202,9 +205,8 @@ def write_vectors(vector: DataFrame, path: str, k: int, mode: str = "append", re
     Zeros between positions are filled in while writing, in blocks of bounded size. '/' in a ref is written as %2F. Cells that are filled twice are as for reduce.cells."""
     from strandmill.operators.reduce import cells
 
-    spark = vector.sparkSession
-    _fresh(spark, path, mode)
-    file = F.concat(F.replace(F.replace("ref", F.lit("%"), F.lit("%25")), F.lit("/"), F.lit("%2F")), F.lit("___"), "strand", F.lit(".gz"))
+    _fresh(vector.sparkSession, path, mode)
+    file = F.concat(_escaped("ref"), F.lit("___"), "strand", F.lit(".gz"))
     # The file of a vector is one task's, as its lines are in order.
     w = Window.partitionBy("file").orderBy("pos")
     rows = cells(vector, replace).select(file.alias("file"), "pos", "count").where("file is not null")
@@ -214,8 +216,115 @@ def write_vectors(vector: DataFrame, path: str, k: int, mode: str = "append", re
     last = F.col("b") == F.expr(f"gap div {ZEROS}")
     zeros = F.expr(f"repeat('0\\n', cast(CASE WHEN b = gap div {ZEROS} THEN gap % {ZEROS} ELSE {ZEROS} - 1 END AS int))")
     head = F.when(F.col("before").isNull() & (F.col("b") == 0), f"# k={k}\n").otherwise("")
-    lines = rows.select("file", F.concat(head, zeros, F.when(last, F.col("count").cast("string")).otherwise("0")).alias("value"))
-    draft = f"{path}/_{uuid.uuid4().hex}"
+    _write_files(rows.select("file", F.concat(head, zeros, F.when(last, F.col("count").cast("string")).otherwise("0")).alias("value")), path, mode)
+
+
+def write_cells(cells: DataFrame, path: str, k: int, strands: tuple[str, ...], mode: str = "append") -> None:
+    """The same files from the cells of packs.cells, whose counts hold for each of the strands."""
+    _fresh(cells.sparkSession, path, mode)
+    rows = cells.select(_escaped("ref").alias("ref"), "block", "counts").repartition(width(cells.sparkSession), "ref").sortWithinPartitions("ref", "block")
+    lines = rows.mapInArrow(_texts(k, strands), "file string, at bigint, value string")
+    _write_files(lines.sortWithinPartitions("file", "at").select("file", "value"), path, mode)
+
+
+def _escaped(ref: str) -> Column:
+    return F.replace(F.replace(ref, F.lit("%"), F.lit("%25")), F.lit("/"), F.lit("%2F"))
+
+
+def _texts(k: int, strands: tuple[str, ...]):
+    """(ref, block, counts) in order -> (file, at, value): lines of the files, numbered, each value at most a block of them."""
+    from strandmill.operators.packs import BLOCK
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ref, at, end = None, 0, 0
+        for b in batches:
+            lists, out, made = b.column(2), [], 0
+            ends, values = lists.offsets.to_pylist(), lists.values
+            for i, (name, block) in enumerate(zip(b.column(0).to_pylist(), b.column(1).to_pylist())):
+                texts = []
+                if name != ref:
+                    ref, at, end = name, 0, 0
+                    texts.append(f"# k={k}")
+                while end < block * BLOCK:
+                    n = min(block * BLOCK - end, BLOCK)
+                    texts.append("\n".join(["0"] * n))
+                    end += n
+                texts.append("\n".join(map(str, values[ends[i] : ends[i + 1]].to_pylist())))
+                end += ends[i + 1] - ends[i]
+                for text in texts:
+                    out.extend((f"{ref}___{strand}.gz", at, text) for strand in strands)
+                    at += 1
+                    made += len(text) * len(strands)
+                    if made > 1 << 24:
+                        yield _lines(out)
+                        out, made = [], 0
+            if out:
+                yield _lines(out)
+
+    return run
+
+
+def _lines(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), (pa.string(), pa.int64(), pa.string()))], names=["file", "at", "value"])
+
+
+def local(spark: SparkSession, path: str) -> str | None:
+    """The path as the operating system knows it, where it is in a file system of the machines themselves."""
+    fs, p = file_system(spark, path)
+    return p.toUri().getPath() if fs.getUri().getScheme() == "file" else None
+
+
+def _put(folder: str):
+    """(file, value), the rows of a file one after another -> gzip files in a folder, and how many. A file gets its name when it is whole, so attempts at a task may repeat or overlap."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, f, made = None, None, 0
+
+        def settle() -> None:
+            nonlocal made
+            if f is not None:
+                f.close()
+                os.replace(draft, f"{folder}/{name}")
+                made += 1
+
+        for b in batches:
+            for file, value in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if file != name:
+                    settle()
+                    name, draft = file, f"{folder}/.{uuid.uuid4().hex}"
+                    f = gzip.open(draft, "wb", 6)
+                f.write(value.encode() + b"\n")
+        settle()
+        yield pa.RecordBatch.from_arrays([pa.array([made], pa.int64())], names=["n"])
+
+    return run
+
+
+def _write_files(lines: DataFrame, path: str, mode: str) -> None:
+    """Rows (file, value), those of a file in one partition, one after another and in order, as gzip files that are named so."""
+    spark = lines.sparkSession
+    fs, root = file_system(spark, path)
+    name = f"_{uuid.uuid4().hex}"
+    if folder := local(spark, path):
+        # The work of Spark's writer and its commit, and of a rename by way of Hadoop, is many times that of a small file itself.
+        os.makedirs(f"{folder}/{name}")
+        lines.mapInArrow(_put(f"{folder}/{name}"), "n bigint").agg(F.sum("n")).collect()
+        for file in os.listdir(f"{folder}/{name}"):
+            if file[0] == "." and len(file) == 33:
+                os.remove(f"{folder}/{name}/{file}")  # left by an attempt that failed
+                continue
+            if mode == "overwrite" and os.path.exists(f"{folder}/.{file}.crc"):
+                os.remove(f"{folder}/.{file}.crc")
+            os.replace(f"{folder}/{name}/{file}", f"{folder}/{file}")
+        os.rmdir(f"{folder}/{name}")
+    else:
+        _place(lines, path, name, mode)
+    fs.create(spark._jvm.org.apache.hadoop.fs.Path(root, "_SUCCESS"), True).close()
+
+
+def _place(lines: DataFrame, path: str, name: str, mode: str) -> None:
+    """By Spark's writer, for any file system: a folder for each file, whose one part is renamed after the job."""
+    spark, draft = lines.sparkSession, f"{path}/{name}"
     lines.write.partitionBy("file").option("compression", "gzip").text(draft)
     fs, root = file_system(spark, path)
     jvm = spark._jvm
@@ -233,7 +342,30 @@ def write_vectors(vector: DataFrame, path: str, k: int, mode: str = "append", re
     with ThreadPoolExecutor(16) as pool:  # the work of each is a call or two to the file system
         list(pool.map(place, names))
     fs.delete(Path(draft), True)
-    fs.create(Path(root, "_SUCCESS"), True).close()
+
+
+def read_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no, line) of vector files, their names as in URIs. A gzip file is one task's and its lines come in order, so they are numbered as they come. Splits are coalesced, as Spark puts but a few
+    small files into one."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("line"))
+    parts = lines.rdd.getNumPartitions()
+    return lines.coalesce(max(4 * width(spark), parts // 32)).mapInArrow(_numbered, "file string, line_no bigint, line string")
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    name, n = None, 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        runs = pc.run_end_encode(b.column(0))
+        ends, names = runs.run_ends.to_pylist(), runs.values.to_pylist()
+        parts, begin = [], 0
+        for end, file in zip(ends, names):
+            if file != name:
+                name, n = file, 0
+            parts.append(np.arange(n, n + end - begin))
+            n, begin = n + end - begin, end
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(parts), pa.int64()), b.column(1)], names=["file", "line_no", "line"])
 
 
 def concatenate(spark: SparkSession, folder: str, out: str) -> None:

@@ -2,14 +2,17 @@ import gzip
 import os
 import random
 from contextlib import contextmanager
+from urllib.parse import unquote
 
 import pytest
 from pyspark.sql import functions as F
 
 from strandmill import KmerEngine
 from strandmill.cli import main
+from strandmill.operators import packs
 from strandmill.sources import fasta, store
 from strandmill.streaming.incremental import read_counts, start_counts
+from tests import model
 
 TEXT = "; preamble\nnot a record\n>r1 desc here \nACGT\nAC GT\r\n>r2\n>r3\tx y\r\nggN\nA\n\n>r4\n"
 WANT = [("r1 desc here", "r1", "ACGTACGT", 0), ("r2", "r2", "", 0), ("r3\tx y", "r3\tx", "ggNA", 0), ("r4", "r4", "", 0)]
@@ -153,6 +156,34 @@ def test_vectors(spark, tmp_path):
     assert gzip.open(tmp_path / "y/r___-.gz", "rt").read() == "# k=9\n7\n7\n"
 
 
+@pytest.mark.parametrize("any_system", [False, True])
+def test_vector_files_of_blocks(spark, rows, tmp_path, monkeypatch, any_system):
+    """Vectors of records in blocks, and of windows, are the same files, by the writer for local paths and by the one for any file system; many small files are read by few tasks."""
+    monkeypatch.setattr(packs, "BLOCK", 16)
+    if any_system:
+        monkeypatch.setattr(fasta, "local", lambda *_: None)
+    rng = random.Random(3)
+    word = "".join(rng.choice("ACGT") for _ in range(12))
+    seqs = [("a/%x", word + "N" * 70 + word + "N" * 40), ("b c", "N" * 33 + word), ("none", "NNN"), (None, word)] + [(f"r{i}", "".join(rng.choice("ACGT") for _ in range(50))) for i in range(20)]
+    k = KmerEngine(spark).from_table(spark.createDataFrame(seqs, "ref string, seq string")).kmers(4, True)
+    k.write_vectors(str(tmp_path / "v"))
+    k.write_vectors(str(tmp_path / "m"), masked=True)
+    k.feed(k, "replace").write_vectors(str(tmp_path / "w"))
+    whole = {x: {n: gzip.open(tmp_path / x / n, "rt").read() for n in os.listdir(tmp_path / x) if n[0] not in "._"} for x in "vmw"}
+    assert whole["v"] == whole["w"] and len(whole["v"]) == 44 and [n for n in os.listdir(tmp_path / "v") if n[0] == "_"] == ["_SUCCESS"]
+    for name, masked in (("v", False), ("m", True)):
+        want = {}
+        for ref, strand, _, n in sorted(model.dense(model.vector(model.kmers([(r or "", s) for r, s in seqs] if not masked else seqs[:3] + seqs[4:], 4, True), masked)), key=lambda x: x[:3]):
+            if ref:
+                want.setdefault(f"{ref}___{strand}.gz".replace("%", "%25").replace("/", "%2F"), ["# k=4"]).append(str(n))
+        assert {n: t.split("\n")[:-1] for n, t in whole[name].items()} == want
+    got = fasta.read_vectors(spark, str(tmp_path / "v"))
+    assert {(unquote(r.file), r.line_no, r.line) for r in got.collect()} == {(n, i, x) for n, t in whole["v"].items() for i, x in enumerate(t.split("\n")[:-1])}
+    with splits_of(spark, 1):
+        assert spark.read.text(str(tmp_path / "v")).rdd.getNumPartitions() > 40
+        assert fasta.read_vectors(spark, str(tmp_path / "v")).rdd.getNumPartitions() <= 16
+
+
 def test_store(spark, rows, tmp_path):
     e, path = KmerEngine(spark), str(tmp_path / "s")
     r = e.from_table(spark.createDataFrame([("a", "ACGTACGTTT")], "ref string, seq string"))
