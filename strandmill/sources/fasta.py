@@ -345,11 +345,55 @@ def _place(lines: DataFrame, path: str, name: str, mode: str) -> None:
 
 
 def read_vectors(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line_no, line) of vector files, their names as in URIs. A gzip file is one task's and its lines come in order, so they are numbered as they come. Splits are coalesced, as Spark puts but a few
-    small files into one."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("line"))
-    parts = lines.rdd.getNumPartitions()
-    return lines.coalesce(max(4 * width(spark), parts // 32)).mapInArrow(_numbered, "file string, line_no bigint, line string")
+    """(file, line_no, line) of a folder of vector files. A gzip file is one task's and its lines come in order, so they are numbered as they come."""
+    kinds, folder = "file string, line_no bigint, line string", local(spark, path)
+    if folder:
+        files = [(f.name, f.stat().st_size) for f in os.scandir(folder) if f.name[0] not in "._"]
+        tasks = max(4 * width(spark), sum(size for _, size in files) >> 22, len(files) // 2000)
+        names = spark.createDataFrame(pa.table({"file": pa.array([name for name, _ in files], pa.string())}))
+        return names.repartition(tasks).mapInArrow(_opened(folder), kinds)
+    name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+    lines = spark.read.text(path).select(name.alias("file"), F.col("value").alias("line"))
+    # Spark puts but a few small files into one split.
+    return lines.coalesce(max(4 * width(spark), lines.rdd.getNumPartitions() // 32)).mapInArrow(_numbered, kinds)
+
+
+def _opened(folder: str):
+    """Names of gzip files -> (file, line_no, line), read in pieces of bounded size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, names, firsts, counts, size = [], [], [], [], 0
+
+        def flush() -> pa.RecordBatch:
+            nonlocal size
+            text = np.frombuffer(b"".join(held), np.uint8)
+            ends = np.flatnonzero(text == 10)
+            offsets = np.concatenate([[0], ends - np.arange(len(ends))]).astype(np.int32)  # without the line feeds
+            lines = pa.StringArray.from_buffers(len(ends), pa.py_buffer(offsets.tobytes()), pa.py_buffer(text[text != 10].tobytes()))
+            line_no = np.arange(len(ends)) - np.repeat(np.cumsum([0, *counts])[:-1] - np.array(firsts), counts)
+            files = pa.array(names, pa.string()).take(pa.array(np.repeat(np.arange(len(names)), counts)))
+            for x in (held, names, firsts, counts):
+                x.clear()
+            size = 0
+            return pa.RecordBatch.from_arrays([files, pa.array(line_no, pa.int64()), lines], names=["file", "line_no", "line"])
+
+        for b in batches:
+            for name in b.column(0).to_pylist():
+                first, rest = 0, b""
+                with gzip.open(f"{folder}/{name}") as f:
+                    while piece := f.read(1 << 20) or rest and b"\n":
+                        whole, found, rest = (rest + piece).rpartition(b"\n")
+                        if found:
+                            n = whole.count(b"\n") + 1
+                            for x, y in ((held, whole + b"\n"), (names, name), (firsts, first), (counts, n)):
+                                x.append(y)
+                            first, size = first + n, size + len(whole)
+                            if size > 1 << 20:
+                                yield flush()
+        if held:
+            yield flush()
+
+    return run
 
 
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,7 +2,6 @@ import gzip
 import os
 import random
 from contextlib import contextmanager
-from urllib.parse import unquote
 
 import pytest
 from pyspark.sql import functions as F
@@ -178,10 +177,15 @@ def test_vector_files_of_blocks(spark, rows, tmp_path, monkeypatch, any_system):
                 want.setdefault(f"{ref}___{strand}.gz".replace("%", "%25").replace("/", "%2F"), ["# k=4"]).append(str(n))
         assert {n: t.split("\n")[:-1] for n, t in whole[name].items()} == want
     got = fasta.read_vectors(spark, str(tmp_path / "v"))
-    assert {(unquote(r.file), r.line_no, r.line) for r in got.collect()} == {(n, i, x) for n, t in whole["v"].items() for i, x in enumerate(t.split("\n")[:-1])}
+    assert {(r.file, r.line_no, r.line) for r in got.collect()} == {(n, i, x) for n, t in whole["v"].items() for i, x in enumerate(t.split("\n")[:-1])}
     with splits_of(spark, 1):
         assert spark.read.text(str(tmp_path / "v")).rdd.getNumPartitions() > 40
         assert fasta.read_vectors(spark, str(tmp_path / "v")).rdd.getNumPartitions() <= 16
+    long = [str(i) for i in range(400_000)]
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x/a.gz").write_bytes(gzip.compress("\n".join(long).encode()))
+    got = fasta.read_vectors(spark, str(tmp_path / "x")).collect()
+    assert [r.line for r in sorted(got, key=lambda r: r.line_no)] == long and {r.line_no for r in got} == set(range(400_000))
 
 
 def test_store(spark, rows, tmp_path):
